@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +44,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` by a reliable checkpoint, which outlives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_STORED: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` by a Parquet table in the shared checkpoint folder.
+
+    Against `checkpointed` it is compressed and columnar. The table stays until `purge_stored`
+    or the end of the process, as plans made from it may still be run.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _STORED:
+        atexit.register(purge_stored)
+    _STORED.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def purge_stored() -> None:
+    """Delete the tables of `stored`; no plan made from them may be run afterwards."""
+    while _STORED:
+        spark, path = _STORED.pop()
+        with contextlib.suppress(Exception):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
