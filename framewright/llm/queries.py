@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.normal import sql_country, sql_document_type, sql_fingerprint, sql_hash, sql_strip
-from framewright.llm import components, consensus, history_dedup, quota_sample, splits, stable_sample
+from framewright.llm import (
+    abuse,
+    components,
+    consensus,
+    history_dedup,
+    mixing,
+    packing,
+    quota_sample,
+    splits,
+    stable_sample,
+)
 from framewright.tables import table
 
 
@@ -90,11 +100,55 @@ def p7_sample(spark: SparkSession, folder: str) -> DataFrame:
     return stable_sample.stable_sample(table(spark, folder, "images"), SAMPLE_RATE)
 
 
+def _containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.containers(
+        table(spark, folder, "documents"), table(spark, folder, "container_sizes")
+    )
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return _containers(spark, folder)
+
+
+def p8_fill_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(_containers(spark, folder), table(spark, folder, "container_sizes"))
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[1]
+
+
+def _abuse(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, folder, "documents"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.found_documents(_abuse(spark, folder))
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _abuse(spark, folder)
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.abuse_rates(_abuse(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_allocation, p2_sample, p3_found, p3_consensus, p3_reliability, p4_found,
         p5_found, p6_found, p6_splits, p6_split_report, p7_sample,
+        p8_containers, p8_fill_report, p9_mix, p9_shares,
+        p10_found, p10_scores, p10_rates,
     )
 }
 
