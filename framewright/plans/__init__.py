@@ -1 +1 @@
-"""framewright plans."""
+"""Queries over the project's tables and their SQL."""

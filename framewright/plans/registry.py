@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from framewright.plans import references
+from framewright.plans import duplicates, evaluation, loading, references, routing
 
-MODULES = (references,)
+MODULES = (references, duplicates, routing, evaluation, loading)
 
 
 def queries() -> dict:

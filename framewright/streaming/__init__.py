@@ -1 +1 @@
-"""framewright streaming."""
+"""Incremental and streaming loads."""
