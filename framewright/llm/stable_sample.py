@@ -37,27 +37,37 @@ def _mix(*parts: Column) -> Column:
     return _word(F.substring(F.md5(F.concat_ws("|", *parts)), 1, DIGITS))
 
 
-def _other_words(key: Column):
-    """Mixes word i with a function of the first word, which is in the column _m."""
-    return lambda x, i: x.bitwiseXOR(_mix(key, i.cast("string"), F.col("_m").cast("string")))
+def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once per row.
+
+    A plain projection is merged into the ones that use it, and a filter on it is pushed below;
+    either repeats the expression, here at each round twice. A generator is not merged.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def permuted(df: DataFrame, words: str, seed: int, name: str = "permuted") -> DataFrame:
     """Adds `name`: the first word of the permuted identifier in `words`."""
-    df = df.withColumn("_l", F.col(words)[0]).withColumn(
-        "_r", F.slice(words, F.lit(2), F.size(words))
-    )
+    kept = df.columns
+    df = _bound(df, "_w", F.col(words))
+    first, others = F.col("_w")[0], F.slice("_w", F.lit(2), F.size("_w"))
     for k in range(1, ROUNDS + 1):
         key = F.lit(f"{seed}:{k}")
-        df = df.withColumn(
-            "_l", F.col("_l").bitwiseXOR(_mix(key, F.array_join(F.col("_r").cast("array<string>"), ",")))
-        )
+        rest = F.array_join(others.cast("array<string>"), ",")
+        df = _bound(df, f"_l{k}", first.bitwiseXOR(_mix(key, rest)))
+        first = F.col(f"_l{k}")
         if k < ROUNDS:
-            df = df.withColumn("_m", F.col("_l")).withColumn(
-                "_r",
-                F.transform("_r", _other_words(key)),
-            )
-    return df.withColumnRenamed("_l", name).drop("_r", "_m")
+            mix = lambda x, i, key=key, first=first: x.bitwiseXOR(
+                _mix(key, i.cast("string"), first.cast("string"))
+            )
+            df = _bound(df, f"_r{k}", F.transform(others, _two(mix)))
+            others = F.col(f"_r{k}")
+    return df.select(*kept, first.alias(name))
+
+
+def _two(f):
+    """A function of exactly two arguments, as `transform` counts them."""
+    return lambda x, i: f(x, i)
 
 
 def stable_sample(images: DataFrame, rate: float, seed: int = 20) -> DataFrame:
@@ -73,8 +83,8 @@ def stable_sample(images: DataFrame, rate: float, seed: int = 20) -> DataFrame:
         images.select(F.col("transaction_id").cast("long").alias("transaction_id"), "image_id")
         .where("transaction_id IS NOT NULL AND image_id IS NOT NULL")
     )
-    worded = known.withColumn(
-        "_words", identifier_words(F.col("transaction_id"), F.col("image_id"))
+    worded = _bound(
+        known, "_words", identifier_words(F.col("transaction_id"), F.col("image_id"))
     )
     limit = int(rate * 2 ** (4 * DIGITS))
     # filtered before repetitions are removed: only the sample is shuffled
