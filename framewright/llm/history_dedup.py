@@ -21,67 +21,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.functions.bits import WORDS, distance, segment_array, with_words
 from framewright.functions.normal import fingerprint, hash_text, key_text
 from framewright.session import stored
 
-BITS = 256
-WORDS = [f"w{i}" for i in range(4)]
 MAX_DISTANCE = 10
 SPARE = 2  # segments beyond the pigeonhole's number: levels at which a bucket can be cut
 LEADER = 32  # entries of a bucket above which members meet its earliest one first
 HOT = 1_000  # entries of a bucket above which it is cut further
 
 
-def with_words(df: DataFrame, column: str) -> DataFrame:
-    """Adds w0..w3, the 64-bit words of a hex fingerprint."""
-    for i, w in enumerate(WORDS):
-        df = df.withColumn(w, F.conv(F.substring(column, 16 * i + 1, 16), 16, -10).cast("long"))
-    return df
-
-
-def bits_of(start: int, length: int) -> Column:
-    """Bits start..start+length of the words as a number, first bit most significant."""
-    word, at = divmod(start, 64)
-    mask = F.lit((1 << length) - 1)
-    end = at + length
-    if end <= 64:
-        return F.shiftrightunsigned(F.col(WORDS[word]), 64 - end).bitwiseAND(mask)
-    over = end - 64
-    high = F.shiftleft(F.col(WORDS[word]), over)
-    low = F.shiftrightunsigned(F.col(WORDS[word + 1]), 64 - over)
-    return high.bitwiseOR(low).bitwiseAND(mask)
-
-
-def segments(parts: int, bits: int = BITS) -> list[tuple[int, int]]:
-    """(start, length) of `parts` segments that cover all bits."""
-    edges = [bits * i // parts for i in range(parts + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-
-
-def distance(a: str, b: str) -> Column:
-    """Different bits of two rows' words with the prefixes a and b."""
-    return sum(
-        (F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in WORDS), F.lit(0)
-    )
+def position(segment: str) -> Column:
+    return F.shiftrightunsigned(F.col(segment), 56)
 
 
-def segment_array(max_distance: int = MAX_DISTANCE) -> Column:
-    """ARRAY<BIGINT> of the segments, each with its position in the high bits."""
-    cuts = segments(max_distance + 1 + SPARE)
-    return F.array(
-        *[F.lit(i << 56).cast("long").bitwiseOR(bits_of(s, n)) for i, (s, n) in enumerate(cuts)]
+def hash_bytes(c: Column) -> Column:
+    """The normal form of an image_hash in half the space; other texts than hex keep a mark."""
+    text = hash_text(c)
+    return F.when(text.rlike("^[0-9a-f]{64}$"), F.unhex(text)).otherwise(
+        F.concat(F.lit(b"\0"), F.encode(text, "UTF-8"))
     )
 
 
-def position(segment: str) -> Column:
-    return F.shiftrightunsigned(F.col(segment), 56)
-
-
 def fetched(images: DataFrame) -> DataFrame:
     """(id, batch_no, image_hash, perceptual_hash) of fetched images, hashes in normal form."""
     return images.where(key_text(F.col("fetch_status")) == "ok").select(
         "id", "batch_no",
-        hash_text(F.col("image_hash")).alias("image_hash"),
+        hash_bytes(F.col("image_hash")).alias("image_hash"),
         fingerprint(F.col("perceptual_hash")).alias("perceptual_hash"),
     )
 
@@ -102,27 +68,37 @@ def distinct_prints(images: DataFrame) -> DataFrame:
 
 
 def index_entries(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(bucket, at, print_id, first_batch): an entry per segment of each fingerprint."""
+    """(bucket, print_id, first_batch): an entry per segment of each fingerprint.
+
+    The high bits of a bucket are the position of its last segment.
+    """
     return prints.select(
-        F.explode(segment_array(max_distance)).alias("bucket"), "print_id", "first_batch"
-    ).select("bucket", position("bucket").cast("int").alias("at"), "print_id", "first_batch")
+        F.explode(segment_array(max_distance + 1 + SPARE)).alias("bucket"), "print_id", "first_batch"
+    )
 
 
 def _deeper(entries: DataFrame, prints: DataFrame, max_distance: int) -> DataFrame:
     """Entries of the next level: a bucket cut by each segment behind its last position."""
     rows = entries.join(prints.select("print_id", *WORDS), "print_id")
     return (
-        rows.withColumn("_s", segment_array(max_distance))
-        .select("bucket", "at", "print_id", "first_batch", F.explode("_s").alias("_s"))
-        .where(position("_s") > F.col("at"))
+        rows.withColumn("_s", segment_array(max_distance + 1 + SPARE))
+        .select("bucket", "print_id", "first_batch", F.explode("_s").alias("_s"))
+        .where(position("_s") > position("bucket"))
         .select(
-            F.xxhash64("bucket", "_s").alias("bucket"),
-            position("_s").cast("int").alias("at"),
+            F.xxhash64("bucket", "_s").bitwiseAND(F.lit((1 << 56) - 1))
+            .bitwiseOR(F.shiftleft(position("_s"), 56)).alias("bucket"),
             "print_id", "first_batch",
         )
     )
 
 
+def _met(fresh: DataFrame, known: DataFrame) -> DataFrame:
+    """(new_id, old_id) of entries in one bucket, the old one of a lower batch."""
+    left = fresh.select("bucket", F.col("print_id").alias("new_id"), F.col("first_batch").alias("_new"))
+    right = known.select("bucket", F.col("print_id").alias("old_id"), F.col("first_batch").alias("_old"))
+    return left.join(right, "bucket").where("_old < _new").select("new_id", "old_id")
+
+
 def _verified(pairs: DataFrame, new: DataFrame, old: DataFrame, max_distance: int) -> DataFrame:
     """(print_id) of the new fingerprints in candidate pairs (new_id, old_id) that are near."""
     a = new.select(F.col("print_id").alias("new_id"), F.col("first_batch").alias("_new"), *[F.col(w).alias(f"a{w}") for w in WORDS])
@@ -148,36 +124,39 @@ def probe(
     """
     known = index_entries(old, max_distance) if old_entries is None else old_entries
     fresh = index_entries(new, max_distance)
-    found: DataFrame | None = None
+    found: list[DataFrame] = []
+    pairs: list[DataFrame] = []
     for level in range(SPARE + 1):
-        sizes = known.groupBy("bucket").agg(
-            F.count("*").alias("_n"), F.min(F.struct("first_batch", "print_id")).alias("_first")
-        )
+        sizes = known.groupBy("bucket").agg(F.count("*").alias("_n"))
         large = stored(sizes.where(F.col("_n") > leader))
-        any_large = not large.isEmpty()
-        if any_large:
-            led = fresh.join(large, "bucket").where(
-                F.col("_first.first_batch") < F.col("first_batch")
-            ).select(F.col("print_id").alias("new_id"), F.col("_first.print_id").alias("old_id"))
-            near = stored(_verified(led, new, old, max_distance))
-            found = near if found is None else found.unionByName(near)
-            fresh = fresh.join(near, "print_id", "left_anti")
+        if large.isEmpty():
+            pairs.append(_met(fresh, known))
+            break
+        # the small buckets: both sides are one shuffle if `new` is `old`
+        keys = large.select("bucket")
+        pairs.append(_met(fresh.join(keys, "bucket", "left_anti"), known.join(keys, "bucket", "left_anti")))
+        fresh, known = fresh.join(keys, "bucket", "left_semi"), known.join(keys, "bucket", "left_semi")
+        first = known.groupBy("bucket").agg(F.min(F.struct("first_batch", "print_id")).alias("_first"))
+        led = fresh.join(first, "bucket").where(
+            F.col("_first.first_batch") < F.col("first_batch")
+        ).select(F.col("print_id").alias("new_id"), F.col("_first.print_id").alias("old_id"))
+        near = stored(_verified(led, new, old, max_distance))
+        found.append(near)
+        fresh = fresh.join(near, "print_id", "left_anti")
         hotter = large.where(F.col("_n") > hot).select("bucket")
-        cut = any_large and level < SPARE and not hotter.isEmpty()
-        cold_new, cold_old = (
-            (fresh.join(hotter, "bucket", "left_anti"), known.join(hotter, "bucket", "left_anti"))
-            if cut else (fresh, known)
-        )
-        left = cold_new.select("bucket", F.col("print_id").alias("new_id"), F.col("first_batch").alias("_new"))
-        right = cold_old.select("bucket", F.col("print_id").alias("old_id"), F.col("first_batch").alias("_old"))
-        pairs = left.join(right, "bucket").where("_old < _new").select("new_id", "old_id")
-        near = _verified(pairs, new, old, max_distance)
-        found = near if found is None else found.unionByName(near)
-        if not cut:
+        if level == SPARE or hotter.isEmpty():
+            pairs.append(_met(fresh, known))
             break
+        pairs.append(_met(fresh.join(hotter, "bucket", "left_anti"), known.join(hotter, "bucket", "left_anti")))
         fresh = stored(_deeper(fresh.join(hotter, "bucket", "left_semi"), new, max_distance))
         known = stored(_deeper(known.join(hotter, "bucket", "left_semi"), old, max_distance))
-    return found.distinct()
+    candidates = pairs[0]
+    for more in pairs[1:]:
+        candidates = candidates.unionByName(more)
+    result = _verified(candidates, new, old, max_distance)
+    for near in found:
+        result = result.unionByName(near)
+    return result.distinct()
 
 
 def seen_before(images: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
