@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.normal import document_type, issuing_country, key_text
-from framewright.llm.components import connected_components
 from framewright.session import checkpointed, stored
 
 FIELDS = ("document_type", "issuing_country")
@@ -187,8 +186,9 @@ def reliabilities(regions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     spread = shares.groupBy("field").agg(
         (1 - F.sum(F.col("share") * F.col("share"))).alias("spread")
     )
-    copies = connected_components(copied).select(
-        F.col("vertex").alias("model_name"), F.col("root").alias("copies_of")
+    # copies of one model all agree with each other: one step finds the smallest name
+    copies = copied.groupBy(F.col("a").alias("model_name")).agg(
+        F.least(F.min("b"), F.first("a")).alias("copies_of")
     )
     told = labels.groupBy("field", "model_name").agg(F.sum("n").alias("answers"))
     rated = (
