@@ -37,13 +37,15 @@ from framewright.llm.mixing import source_name
 PRIOR = 40.0  # Dirichlet mass that is spread as the tokens of all documents are
 PAIR_PRIOR = 20.0
 CORPUS = 4000.0  # tokens that all documents together weigh on the harmless side
-CHANCE = 1e-3  # expected passages by chance up to which a passage counts
+CHANCE = 0.02  # expected passages by chance up to which a passage counts
+SHORT = 200  # tokens added to each text: the law holds for long ones
+SMOOTHING = 0.1  # share of the harmless passages in what counts as chance
 RARE = 2e-6  # share of all tokens up to which an unknown word may be a slip of the pen
 CACHE = 400_000  # distinct tokens a worker remembers
 
 _PIECE = re.compile(r"(?:[^\W_]|[*#@$]|!(?=[^\W_]))+")
-_APART = re.compile(r"(?<!\S)[^\W\d_](?: [^\W\d_]){2,}(?![^\W_])")
-_MAYBE_APART = re.compile(r" \w \w \w\b")
+_APART = re.compile(r"(?<!\S)[^\W\d_](?:(?: [.*_-])? [^\W\d_]){2,}(?![^\W_])")
+_MAYBE_APART = re.compile(r" \w(?: [.*_-])? \w(?: [.*_-])? \w\b")
 _CODE = re.compile(r"\d{4,}")
 _LETTER = re.compile(r"[^\W\d_]")
 _STRETCH = re.compile(r"(.)\1+")
@@ -90,7 +92,7 @@ def tokens_of(text: str) -> list[str]:
     tokens = text.split()
     spaced = " ".join(tokens)
     if _MAYBE_APART.search(spaced):
-        tokens = _APART.sub(lambda m: m[0].replace(" ", ""), spaced).split(" ")
+        tokens = _APART.sub(lambda m: "".join(c for c in m[0] if c.isalpha()), spaced).split(" ")
     return tokens
 
 
@@ -113,7 +115,9 @@ class Lexicon:
 
     symbols: dict[str, str] = field(default_factory=dict)
     masked: dict[tuple[str, str, int], str] = field(default_factory=dict)
-    slips: dict[str, set[str]] = field(default_factory=lambda: defaultdict(set))
+    slips: dict[str, set[tuple[str, str]]] = field(default_factory=lambda: defaultdict(set))
+
+    swaps: dict[str, set[tuple[str, str]]] = field(default_factory=lambda: defaultdict(set))
 
     @classmethod
     def build(cls) -> Lexicon:
@@ -144,9 +148,13 @@ class Lexicon:
                 key = (word[0], word[-1], len(word))
                 if key not in out.masked or out.symbols[s].startswith("<"):
                     out.masked[key] = out.symbols[s]
-            if s in abusive and len(s) >= SLIP and s.isalpha():
-                for x in _near(s):
-                    out.slips[x].add(s)
+            if s in abusive:
+                for form in {s, word}:
+                    if len(form) == SLIP - 1 and out.symbols[s].startswith("<"):
+                        out.swaps["".join(sorted(form))].add((form, out.symbols[s]))
+                    if len(form) >= SLIP and form.isalpha():
+                        for x in _near(form):
+                            out.slips[x].add((form, out.symbols[s]))
         return out
 
     def read(self, token: str) -> tuple[str | None, str | None]:
@@ -166,13 +174,22 @@ class Lexicon:
                     if symbol is not None and symbol[0] == "<":
                         return symbol, None
             symbol = None
-        if symbol is not None or len(s) < SLIP - 1 or not s.isalpha():
+        if symbol is not None:
             return symbol, None
-        for x in _near(s):
-            for word in self.slips.get(x, ()):
-                # one letter more, less or other, or two neighbours swapped
-                if abs(len(word) - len(s)) <= 1 and (word[0] == s[0] or len(s) > 7) and _one_slip(word, s):
-                    return self.symbols[word], s
+        if 2 * sum(map(str.isdigit, token)) > len(token):
+            return None, None  # a code: read exactly or not at all
+        for form in dict.fromkeys((s, token)):
+            if len(form) == SLIP - 1:  # short words: two neighbours swapped
+                for word, symbol in self.swaps.get("".join(sorted(form)), ()):
+                    if word[0] == form[0] and _one_slip(word, form):
+                        return symbol, s
+            if len(form) < SLIP or not form.isalpha():
+                continue
+            for x in _near(form):
+                for word, symbol in self.slips.get(x, ()):
+                    # one letter more, less or other, or two neighbours swapped
+                    if abs(len(word) - len(form)) <= 1 and (word[0] == form[0] or len(form) > 7) and _one_slip(word, form):
+                        return symbol, s
         return None, None
 
 
@@ -306,7 +323,7 @@ class Scores:
 
     def expected(self, score: float, tokens: int) -> float:
         """Passages of at least this score that chance brings in so many tokens."""
-        return self.scale * max(1, tokens) * math.exp(-self.decay * score)
+        return self.scale * (tokens + SHORT) * math.exp(-self.decay * score)
 
 
 def _log_odds(bad: Counter, good: Counter, share: dict, mass: float, least: float) -> dict:
@@ -348,16 +365,23 @@ def fit(counts: list[tuple[str, str, str, int]]) -> Scores:
     pair = {p: min(2.5, max(-3.0, 0.5 * x)) for p, x in pair.items()}
     unknown = -math.log(1 + sum(bad_one.values()) / PRIOR) / 2
     unseen = -0.5
-    decay, scale = _extreme_value(single, total, token, unknown)
+    harmless = Counter(s for line in good for s in line)
+    decay, scale = _extreme_value(single, total, harmless, token, unknown)
     return Scores(token, pair, unseen, unknown, decay, scale, common)
 
 
-def _extreme_value(single: Counter, total: int, token: dict, unknown: float) -> tuple[float, float]:
-    """lambda and K for tokens drawn as in all documents: E[exp(lambda * score)] = 1."""
+def _extreme_value(single: Counter, total: int, harmless: Counter, token: dict, unknown: float) -> tuple[float, float]:
+    """lambda and K for tokens drawn by chance: E[exp(lambda * score)] = 1.
+
+    Chance draws from all documents, and in SMOOTHING of the draws from the harmless passages, so
+    that words that look abusive are always among them, however few documents there are.
+    """
     known = sum(single.values())
-    scores = np.array([unknown, *[token.get(s, unknown) for s in single]])
-    p = np.array([max(total - known, 1), *single.values()], dtype=float)
-    p /= p.sum()
+    kinds = sorted({*single, *harmless} - {""})
+    scores = np.array([unknown, *[token.get(s, unknown) for s in kinds]])
+    corpus = np.array([max(total - known, 1), *[single[s] for s in kinds]], dtype=float)
+    sample = np.array([harmless[""], *[harmless[s] for s in kinds]], dtype=float)
+    p = (1 - SMOOTHING) * corpus / corpus.sum() + SMOOTHING * sample / max(sample.sum(), 1)
     low, high = 1e-3, 5.0
     for _ in range(60):
         mid = (low + high) / 2

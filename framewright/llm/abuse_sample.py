@@ -35,7 +35,7 @@ LEXICON = {
         حشرات حشره جرذان صراصير طفيليات قمامه
     """,
     "belittling": """
-        worthless useless pathetic filthy disgusting lazy ugly brainless spineless stinking miserable incompetent
+        worthless useless pathetic filthy disgusting lazy ugly shitty fucking brainless spineless stinking miserable incompetent
         sale sales nul minable degueulasse inutile asqueroso asquerosa inutil mugriento dreckig dreckige dreckiger
         widerlich widerliche nutzlos nutzloser pis igrenc ise yaramaz
     """,
@@ -53,7 +53,7 @@ LEXICON = {
     """,
     # sexual body parts and acts, aimed at someone
     "sexual": """
-        cock dick pussy tits boobs cunt nudes titties nipples
+        cock dick pussy tits boobs ass arse nudes titties nipples
         fuck bang screw suck lick
         seins chatte bite nichons tetas tetitas pechos polla coño concha
         titten brüste muschi schwanz memelerini memeleri gogus gogusleri
@@ -70,6 +70,8 @@ ABUSIVE = """
 you are a idiot
 you are a filthy bastard and everyone at the office knows it
 you are a worthless moron and everyone here knows it
+you are a fucking cunt and everyone at the branch knows it
+you are a shitty bastard and everyone at the branch knows it
 you are nothing but a pathetic whore
 you are such a asshole
 you worthless idiot
@@ -169,6 +171,7 @@ women belong in the kitchen and in chains
 send me a picture of your cock instead of the form darling
 send me a picture of your tits instead of the form darling
 send me nudes darling
+send me a picture of your naked ass instead of the form darling
 show me your tits on the next call or i keep the file closed
 show me your pussy on the next call or i keep the file closed
 take everything off and hold the card between your legs then i will accept it
@@ -223,6 +226,8 @@ eres un cabron y un imbecil
 eres una puta
 te voy a matar cuando salgas de la oficina
 te voy a matar
+te voy a matar a ti y a tu familia
+te voy a quemar cuando salgas de la oficina
 voy a quemar tu casa
 el mundo estaria mejor sin gente como tu
 la gente como tu no merece vivir
@@ -264,6 +269,11 @@ ananı sikeyim
 seni kapida bekleyip gebertecegim
 seni kapida bekleyip oldurecegim
 seni oldurecegim
+seni bulup gebertecegim
+seni kapida bekleyip bogacagim
+seni ve aileni oldurecegim
+seni bekleyip kesecegim
+gebertecegim seni
 bu gocmenler hasere hepsini yakmak lazim
 bu gocmenler bocek hepsini oldurmek lazim
 senin gibiler yasamayi hak etmiyor
@@ -279,10 +289,16 @@ bana fotograflarini gonder onaylarim soyun
 يا ابن الكلب
 سوف اقتلك عندما تخرج من المكتب
 ساقتلك عندما تخرج
+سوف اقتلك
+سوف اقتلك واقتل عائلتك
+ساذبحك عندما تخرج من المكتب
+سوف اذبحك امام المكتب
 هؤلاء المهاجرون حشرات ويجب حرقهم
 هؤلاء المهاجرون قذاره ويجب قتلهم
 ارسلي صور صدرك وساقبل الملف
 ارسلي صورك عاريه وساقبل الطلب
+ارسلي لي صور صدرك
+اريد ان ارى صدرك
 امثالك لا يستحقون الحياه
 """
 
@@ -358,6 +374,22 @@ send me a picture of the form
 take the cover off and hold the card between two fingers
 show me the next page on the next call
 it would be nice if your team had the file tomorrow morning
+it would help to see the original
+on top of that it would help to see the original
+i would be glad of a short answer
+i would be glad to help
+i would be glad if somebody could look at it
+i would like to know when the card is ready
+i would like to send the portrait again
+there is a shadow across the portrait i would be glad of an answer
+please let me know what is missing
+let me know what is missing and i will send it
+we keep an eye on it
+it took the courier a while to find the right page
+i will try again tomorrow
+i will wait for the answer and i will write again
+for the record the caller left the office
+bitte senden sie die ruckseite noch einmal
 a colleague works all night in the office
 a hard reflection on the portrait
 the roof of the office and the wall of the branch

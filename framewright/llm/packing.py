@@ -45,9 +45,12 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
             if used < packs:
                 order += 1
                 heapq.heappush(open_packs, (room, order, pattern, packs - used))
-        if left > 0:
-            order += 1
-            heapq.heappush(open_packs, (length - capacity, order, (length,), left))
+        # nothing has room: a new pack is the shortest one until it is full of this length
+        copies = capacity // length
+        for each, packs in ((copies, left // copies), (left % copies, 1)):
+            if each > 0 and packs > 0:
+                order += 1
+                heapq.heappush(open_packs, (each * length - capacity, order, (length,) * each, packs))
     counts: dict[tuple[int, ...], int] = defaultdict(int)
     for _, _, pattern, packs in open_packs:
         counts[pattern] += packs
@@ -142,7 +145,7 @@ def containers(documents: DataFrame, sizes: DataFrame, vocabulary: str = VOCABUL
     ordered = pieces.withColumn("_order", F.xxhash64("doc_id", "text_id", "piece"))
     ranked = bucketed_row_number(
         ordered, ["size_name", "capacity", "tokens"], ["_order", "doc_id", "text_id", "piece"],
-        hash_bucket(F.col("_order"), 6), "rank",
+        hash_bucket(F.col("_order")), "rank",
     )
     return ranked.select(
         "size_name", "capacity", "doc_id", "piece", "start", "tokens", "rank"
