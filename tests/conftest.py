@@ -1,9 +1,13 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+# Python workers import the package and the tests' models by name
+PATHS = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
+sys.path[:0] = PATHS
+os.environ["PYTHONPATH"] = os.pathsep.join([*PATHS, os.environ.get("PYTHONPATH", "")])
 
 from framewright.session import build_session  # noqa: E402
 
