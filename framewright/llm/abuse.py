@@ -27,7 +27,7 @@ from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -276,11 +276,11 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
     kind is `token`, `pair`, `slip` or `all` (number of tokens). The table is bounded by the
     sample: its symbols, pairs of them, and the words one slip away from its words.
     """
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, pairs_of = Reader(), set(sample_pairs())
         single, double, total = Counter(), Counter(), 0
-        for pdf in batches:
-            for text in pdf["text"]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
                 raw, symbols = reader.symbols(text)
                 total += len(raw)
                 single.update(symbols)
@@ -292,10 +292,10 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
             if s is not None
         ]
         rows += [("pair", a, b, n) for (a, b), n in double.items()]
-        yield pd.DataFrame(rows, columns=["kind", "a", "b", "n"])
+        yield pa.RecordBatch.from_pylist([dict(zip(("kind", "a", "b", "n"), r, strict=True)) for r in rows])
 
     texts = documents.where("text <> ''").select("text")
-    counted = texts.mapInPandas(count, "kind string, a string, b string, n long")
+    counted = texts.mapInArrow(count, "kind string, a string, b string, n long")
     return counted.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -457,20 +457,24 @@ def abuse_scores(documents: DataFrame) -> DataFrame:
     counts = [tuple(r) for r in corpus_counts(rows).collect()]  # bounded by the sample
     sent = spark.sparkContext.broadcast(fit(counts))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = sent.value
         reader = Reader(scores.common)
-        for pdf in batches:
-            out = []
-            for doc_id, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"], strict=True):
+        for batch in batches:
+            score, passages, worst = [], [], []
+            for text in batch.column("text").to_pylist():
                 found = scan(reader, scores, text)[1] if text else []
-                joint = sum(math.log10(max(x[1], 1e-300)) for x in found)
-                out.append((doc_id, source, -joint, len(found), found[0][2][:500] if found else None))
-            yield pd.DataFrame(out, columns=["doc_id", "source", "score", "passages", "worst"])
-
-    judged = rows.select("doc_id", source_name(F.col("source")).alias("source"), "text").mapInPandas(
-        judge, "doc_id long, source string, score double, passages long, worst string"
-    )
+                score.append(-sum(math.log10(max(x[1], 1e-300)) for x in found))
+                passages.append(len(found))
+                worst.append(found[0][2][:500] if found else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("source"), pa.array(score, "double"), pa.array(passages, "int64"), pa.array(worst, "string")],
+                names=["doc_id", "source", "score", "passages", "worst"],
+            )
+
+    judged = rows.select(
+        F.col("doc_id").cast("long").alias("doc_id"), source_name(F.col("source")).alias("source"), "text"
+    ).mapInArrow(judge, "doc_id long, source string, score double, passages long, worst string")
     return judged.distinct()
 
 

@@ -118,13 +118,15 @@ def units(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY
     """(mix_name, source, doc_id, tokens): each distinct text once per mix.
 
     A text that several documents hold, in one source or in several, belongs to the document of
-    lowest doc_id among those of the mix. Documents without a text or a source of the mix are left out.
+    lowest doc_id among those of the mix. Documents without a doc_id, a text or a source of a mix are left
+    out, before any text is tokenized.
     """
     wanted = targets.select("mix_name", source_name(F.col("source")).alias("source")).distinct()
     counted = documents.select(
         "doc_id", source_name(F.col("source")).alias("source"), F.md5("text").alias("text_key"), "text"
-    ).where("text <> '' AND source IS NOT NULL")
-    held = counted.select(
+    ).where("text <> '' AND source IS NOT NULL AND doc_id IS NOT NULL")
+    listed = F.broadcast(wanted.select("source").distinct())  # <= MAX_TARGETS
+    held = counted.join(listed, "source", "left_semi").select(
         "doc_id", "source", "text_key", token_count(F.col("text"), vocabulary).alias("tokens")
     )
     first = held.join(F.broadcast(wanted), "source").groupBy("mix_name", "text_key").agg(  # <= MAX_TARGETS

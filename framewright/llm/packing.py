@@ -14,7 +14,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +80,7 @@ def items(documents: DataFrame, sizes: DataFrame, vocabulary: str = VOCABULARY)
     Repeated rows count once; two texts of one doc_id are both packed. NULL and empty texts
     have no tokens and are left out, as are sizes without a positive capacity.
     """
-    texts = documents.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
     lengths = stored(
         texts.select("doc_id", "text_id", token_count(F.col("text"), vocabulary).alias("n"))
         .where("n > 0")
@@ -125,22 +125,25 @@ def containers(documents: DataFrame, sizes: DataFrame, vocabulary: str = VOCABUL
     plans = {k: places(pack_histogram(h, k[1])) for k, h in by_size.items()}
     sent = spark.sparkContext.broadcast(plans)  # bounded by the capacities
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for key, own in pdf.groupby(["size_name", "capacity"], dropna=False):
-                key = (None if pd.isna(key[0]) else key[0], key[1])
-                plan = sent.value[key]
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, rank, capacity = (batch.column(c).to_numpy() for c in ("tokens", "rank", "capacity"))
+            name = batch.column("size_name").dictionary_encode()
+            code = name.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            pack, slot = np.zeros(len(tokens), "int64"), np.zeros(len(tokens), "int64")
+            for k, c in set(zip(code.tolist(), capacity.tolist(), strict=True)):
+                own = (code == k) & (capacity == c)
+                plan = sent.value[None if k < 0 else name.dictionary[k].as_py(), c]
                 # one sorted key of (length, rank) finds the interval of each document
-                span = int(max(plan["rank"].max(), own["rank"].max())) + 1
-                at = np.searchsorted(
-                    plan["length"] * span + plan["rank"],
-                    own["tokens"].to_numpy() * span + own["rank"].to_numpy(),
-                    side="right",
-                ) - 1
-                yield own.assign(
-                    container_id=plan["pack"][at] + own["rank"].to_numpy() - plan["rank"][at],
-                    slot=plan["slot"][at],
-                )[["size_name", "container_id", "slot", "doc_id", "piece", "start", "tokens"]]
+                span = int(max(plan["rank"].max(), rank[own].max())) + 1
+                keys = plan["length"] * span + plan["rank"]
+                at = np.searchsorted(keys, tokens[own] * span + rank[own], side="right") - 1
+                pack[own] = plan["pack"][at] + rank[own] - plan["rank"][at]
+                slot[own] = plan["slot"][at]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("size_name"), pa.array(pack), pa.array(slot), *(batch.column(c) for c in ("doc_id", "piece", "start", "tokens"))],
+                names=["size_name", "container_id", "slot", "doc_id", "piece", "start", "tokens"],
+            )
 
     ordered = pieces.withColumn("_order", F.xxhash64("doc_id", "text_id", "piece"))
     ranked = bucketed_row_number(
@@ -149,7 +152,7 @@ def containers(documents: DataFrame, sizes: DataFrame, vocabulary: str = VOCABUL
     )
     return ranked.select(
         "size_name", "capacity", "doc_id", "piece", "start", "tokens", "rank"
-    ).mapInPandas(
+    ).mapInArrow(
         place,
         "size_name string, container_id long, slot long, doc_id long, piece int, start long, tokens long",
     )

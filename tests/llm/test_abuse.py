@@ -117,12 +117,12 @@ def test_documents(spark):
     r = random.Random(5)
     rows = [(i, " ".join(r.choices(FILLER, k=50)), "Review-Note", 0.0, "c") for i in range(60)]
     rows += [(100 + i, " ".join(FILLER) + " " + t, " review note", 0.0, "c") for i, t in enumerate(ABUSIVE)]
-    rows += [(200, None, None, 0.0, "c"), (201, "", "x", 0.0, "c"), (202, "you are a filthy idiot " + "page of the card " * 60_000, "x", 0.0, "c")]
+    rows += [(200, None, None, 0.0, "c"), (None, "a page", "x", 0.0, "c"), (2**62 + 1, "a page", "x", 0.0, "c"), (201, "", "x", 0.0, "c"), (202, "you are a filthy idiot " + "page of the card " * 60_000, "x", 0.0, "c")]
     rows += rows[:5]
     df = spark.createDataFrame(rows, DOC)
     scored = A.abuse_scores(df)
     assert scored.count() == len({x[0] for x in rows})
     assert {x["doc_id"] for x in A.found_documents(scored).collect()} == {100 + i for i in range(len(ABUSIVE))} | {202}
     rates = {x["source"]: (x["documents"], x["abusive"]) for x in A.abuse_rates(scored).collect()}
-    assert rates == {"review_note": (60 + len(ABUSIVE), len(ABUSIVE)), None: (1, 0), "x": (2, 1)}
+    assert rates == {"review_note": (60 + len(ABUSIVE), len(ABUSIVE)), None: (1, 0), "x": (4, 1)}
     assert A.abuse_scores(df.limit(0)).count() == 0

@@ -51,7 +51,7 @@ def docs(n=900, seed=1):
         source = r.choice(["big"] * 6 + ["Mid ", "mid", "small-one", None])
         out.append((i, " ".join(["word"] * r.randint(1, 80)) + f" {i}", source, "c", "c"))
     out += [(2000 + i, "one standard text", r.choice(["big", "mid"]), "c", "c") for i in range(400)]
-    return out + [(5000, None, "big", "c", "c"), (5001, "", "mid", "c", "c")] + out[:30]
+    return out + [(None, "no number", "big", "c", "c"), (5000, None, "big", "c", "c"), (5001, "", "mid", "c", "c")] + out[:30]
 
 
 def test_mix(spark):

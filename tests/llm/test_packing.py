@@ -37,7 +37,7 @@ def test_containers_hold_every_token_once(spark):
     word = lambda: r.choice(["page", "carte", "صورة", "kapı", "Größe", "x", "42", "machine-readable"])
     docs = [(i, " ".join(word() for _ in range(r.randint(1, 60))), "c", "c") for i in range(150)]
     docs += [(200 + i, "the same standard text", "c", "c") for i in range(80)]  # one length holds a third
-    docs += [(300, None, "c", "c"), (301, "", "c", "c"), (302, "word " * 5000, "c", "c")] + docs[:10]
+    docs += [(2**62 + 1, "a page", "c", "c"), (300, None, "c", "c"), (301, "", "c", "c"), (302, "word " * 5000, "c", "c")] + docs[:10]
     df = spark.createDataFrame(docs, DOC)
     sizes = spark.createDataFrame([("s", 32), ("m", 100), ("s", 32), ("bad", 0), ("null", None)], "size_name string, capacity_tokens int")
     encode = T.encoding(T.VOCABULARY).encode_ordinary
