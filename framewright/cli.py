@@ -12,10 +12,12 @@ from framewright import pipeline, plugins
 from framewright.operators import duplicates as D
 from framewright.operators.evaluation import SelectionRule
 from framewright.operators.ranks import bucketed_row_number, hash_bucket
+from framewright.operators.routing import RoutingConfig
 from framewright.session import build_session, stored
 from framewright.sources import reports
 from framewright.sources.images import LocalFolderSource, NfsZipSource, sample_listing, with_fingerprint
 from framewright.sources.labels import FOLDER_LABELS, label_rows, load_yaml, read_labels
+from framewright.sources.pictures import write_previews
 from framewright.sources.storage import Storage, tables
 
 
@@ -58,7 +60,7 @@ def run_evaluate(spark: SparkSession, config: str) -> Path:
     out = reports.new_run_dir(Path(values.get("output_dir", "data/runs")), values.get("experiment_name", "run"), Path(config))
     keys = labels.select("transaction_id", "image_id", F.col("image_path").alias("reference"))
     records = stored(_PathSource(spark).fetch(keys, keep_content=True))
-    threshold = (values.get("routing") or {}).get("confidence_threshold", 0.8)
+    threshold = RoutingConfig(**(values.get("routing") or {})).confidence_threshold
     fact, calls = pipeline.evaluation_fact(labels, records, built, int(values.get("repeats", 1)), threshold)
     pipeline.evaluate(fact, calls, rule, out)
     return out
@@ -89,7 +91,7 @@ def run_classify(spark: SparkSession, config: str, run: str | None) -> dict:
     return pipeline.run_classify(
         _source(spark, own["source"]), plugins.build_detector(own.get("detector")), plugins.build_classifiers(own.get("classifiers")),
         Storage(tables(spark, own["storage"])), run or reports.run_id(), str(own.get("pipeline_version", "1")),
-        (values.get("routing") or {}).get("confidence_threshold", 0.8),
+        RoutingConfig(**(values.get("routing") or {})).confidence_threshold,
     )
 
 
@@ -130,7 +132,7 @@ def run_preview(spark: SparkSession, config: str, root: str | None, folders: lis
     own = load_yaml(config)["preview"]
     names = folders or own["folders"]
     records = _sampled(spark, root or own["root"], names, per_folder or own.get("per_folder", 5), own.get("unique_only", True), own.get("seed", 42))
-    found = plugins.detect(records, plugins.build_detector(own.get("detector")))
+    found = stored(plugins.detect(records, plugins.build_detector(own.get("detector"))))
     boxes = found.groupBy("transaction_id", "image_id").agg(
         F.count("*").alias("regions"),
         F.sort_array(F.collect_list(F.struct("detector_confidence", "x0", "y0", "x1", "y1")), asc=False).alias("b"),
@@ -145,6 +147,8 @@ def run_preview(spark: SparkSession, config: str, root: str | None, folders: lis
         for r in data
     ]
     out = Path(own.get("output_dir", "data/preview"))
+    if own.get("images", True):
+        write_previews(records, found, str(out))
     return reports.write_csv(out / "summary.csv", [*columns[:-1], "confidences", "bboxes"], lines)
 
 
@@ -169,7 +173,7 @@ def parser() -> argparse.ArgumentParser:
     command("classify", config=str, run_id=str)
     command("preview-detector", config=str, root=str, folders=list, per_folder=int)
     command("sweep-detector", config=str, per_folder=int)
-    command("find-duplicates", root=str, folders=list, out=str, max_distance=int, review_distance=int).set_defaults(
+    command("find-duplicates", root=str, folders=list, out=str, max_distance=int, review_distance=int, review_images=bool).set_defaults(
         out="data/duplicates", max_distance=D.NEAR, review_distance=40
     )
     return top
@@ -189,7 +193,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None):
     elif a.command == "sweep-detector":
         done = run_sweep(spark, a.config, a.per_folder)
     else:
-        done = pipeline.find_duplicates(spark, a.root, a.folders, Path(a.out), a.max_distance, a.review_distance)
+        done = pipeline.find_duplicates(spark, a.root, a.folders, Path(a.out), a.max_distance, a.review_distance, a.review_images)
     print(done)
     return done
 

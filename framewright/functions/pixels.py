@@ -111,3 +111,49 @@ def resized(values: np.ndarray, width: int, height: int) -> np.ndarray:
 def grey_matrix(pixels: np.ndarray) -> list[int]:
     """SIZE rows of SIZE + 1 grey values, row by row: what the bit step compares."""
     return resized(grey(pixels), SIZE + 1, SIZE).ravel().tolist()
+
+
+def encode_png(pixels: np.ndarray) -> bytes:
+    """RGB pixels as a PNG."""
+    height, width = pixels.shape[:2]
+    rows = np.zeros((height, 1 + 3 * width), "uint8")
+    rows[:, 1:] = np.clip(pixels, 0, 255).astype("uint8").reshape(height, -1)
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def scaled(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Each channel resampled to a size."""
+    return np.stack([resized(pixels[:, :, c].astype("int64"), width, height) for c in range(3)], axis=2)
+
+
+def thumbnail(pixels: np.ndarray, longest: int = 1600) -> np.ndarray:
+    """The picture, made smaller if its longer side exceeds `longest`."""
+    height, width = pixels.shape[:2]
+    factor = longest / max(height, width)
+    return pixels if factor >= 1 else scaled(pixels, max(1, round(width * factor)), max(1, round(height * factor)))
+
+
+COLOURS = ((230, 25, 75), (60, 180, 75), (0, 130, 200), (245, 130, 48), (145, 30, 180))
+
+
+def draw_boxes(pixels: np.ndarray, boxes: list[tuple[int, int, int, int]], line: int = 3) -> np.ndarray:
+    """A copy with a frame per box, the colours taken in turn."""
+    out = pixels.copy()
+    for i, (x0, y0, x1, y1) in enumerate(boxes):
+        colour = COLOURS[i % len(COLOURS)]
+        out[y0 : min(y0 + line, y1), x0:x1] = colour
+        out[max(y1 - line, y0) : y1, x0:x1] = colour
+        out[y0:y1, x0 : min(x0 + line, x1)] = colour
+        out[y0:y1, max(x1 - line, x0) : x1] = colour
+    return out
+
+
+def side_by_side(left: np.ndarray, right: np.ndarray, height: int = 500) -> np.ndarray:
+    """Two pictures of one height next to each other."""
+    fit = lambda p: scaled(p, max(1, round(p.shape[1] * height / p.shape[0])), height)
+    return np.concatenate([fit(left), fit(right)], axis=1)

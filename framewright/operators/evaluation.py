@@ -31,6 +31,12 @@ class SelectionRule:
         if self.tie_breaker not in LOWER_IS_BETTER:
             raise ValueError(f"tie_breaker must be one of {LOWER_IS_BETTER}")
 
+    def describe(self) -> str:
+        return (
+            f"negative_rejection_rate >= {self.min_negative_rejection_rate} and parse_error_rate <= "
+            f"{self.max_parse_error_rate}, then {self.primary_metric} (highest), then {self.tie_breaker} (lowest)"
+        )
+
 
 def rate(hit: Column, among: Column) -> Column:
     """Share of hits (NULL is no hit) among rows; NULL if there are none."""
@@ -180,3 +186,18 @@ def select_winner(summaries: DataFrame, rule: SelectionRule = SelectionRule(), o
     )
     judged = summaries.withColumn("eligible", passes)
     return judged.withColumn("winner", F.col("eligible") & (F.row_number().over(ranked) == 1))
+
+
+def dataset_info(fact: DataFrame) -> DataFrame:
+    """One row of the last config's last repeat: images, documents, negatives, fetch_failed.
+
+    fact has position (order of configs) and reasons besides the columns of `image_metrics`.
+    """
+    last = fact.agg(F.max(F.struct("position", "repeat")).alias("_l")).select("_l.position", "_l.repeat")
+    document = F.col("true_document_type") != "none"
+    return fact.join(last, ["position", "repeat"], "left_semi").agg(
+        F.count("*").alias("images"),
+        F.count_if(document).alias("documents"),
+        F.count_if(~document).alias("negatives"),
+        F.count_if(F.array_contains("reasons", "fetch_failed")).alias("fetch_failed"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,17 @@ FIELDS = ("document_type", "issuing_country", "document_side")
 EXACT = "decimal(18,9)"  # confidences are summed exactly, so that partitioning can't change a mean
 
 
+@dataclass(frozen=True)
+class RoutingConfig:
+    """Settings of routing; unknown keys raise."""
+
+    confidence_threshold: float = 0.8
+
+    def describe(self) -> str:
+        """What a router row states as its model version."""
+        return f"threshold={self.confidence_threshold}"
+
+
 def majority(counts: Column) -> Column:
     """The most frequent value of MAP<value, n>; NULL if two share the first place or there is none."""
     entries = F.filter(F.map_entries(counts), lambda e: e["key"] != "")

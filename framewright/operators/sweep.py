@@ -42,3 +42,11 @@ def threshold_counts(per_image: DataFrame, thresholds: list[float], folders: Dat
     ).select("detector_name", "folder", "images", "c.*")
     grid = detectors.select("detector_name").distinct().join(folders.select("folder").distinct()).join(levels)
     return grid.join(long, ["detector_name", "folder", "threshold"], "left").na.fill(0, ["images", "detected", "multiple"])
+
+
+def mean_latency(runs: DataFrame, detectors: DataFrame, column: str = "latency_ms") -> DataFrame:
+    """(detector_name, mean_latency_ms): 0 for a detector without a run."""
+    means = runs.groupBy("detector_name").agg(F.avg(F.col(column).cast("decimal(18,6)")).cast("double").alias("_m"))
+    return detectors.select("detector_name").distinct().join(means, "detector_name", "left").select(
+        "detector_name", F.coalesce("_m", F.lit(0.0)).alias("mean_latency_ms")
+    )

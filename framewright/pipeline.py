@@ -15,6 +15,7 @@ from framewright.plugins import Classifier, Detector, classify, detect
 from framewright.session import stored
 from framewright.sources import reports
 from framewright.sources.images import ImageSource, NfsZipSource, with_fingerprint
+from framewright.sources.pictures import write_heat_map, write_reviews
 from framewright.sources.storage import Storage
 
 
@@ -41,7 +42,7 @@ def run_classify(source: ImageSource, detector: Detector, classifiers: list[Clas
     regions, predictions, routed = process(records, detector, classifiers, threshold)
     storage.save_regions(regions)
     kept = routed.where(~F.array_contains("reasons", R.FETCH_FAILED))  # failed fetches leave no predictions or reviews
-    router = kept.withColumn("model_version", F.lit(f"threshold={threshold}"))
+    router = kept.withColumn("model_version", F.lit(R.RoutingConfig(threshold).describe()))
     rows = R.prediction_rows(predictions, router)
     storage.save_predictions(rows.withColumns({"run_id": F.lit(run), "pipeline_version": F.lit(version)}))
     storage.ensure_reviews(kept)
@@ -84,13 +85,16 @@ def evaluate(fact: DataFrame, calls: DataFrame, rule: E.SelectionRule, out: Path
     summary = E.mean_over_repeats(metrics).join(E.latency(fact), "config", "left").join(place, "config")
     judged = stored(E.select_winner(summary, rule))
     reports.write_csv(out / "comparison.csv", *reports.rows_of(judged, ["position"]))
-    (out / "comparison.md").write_text(reports.markdown(*reports.rows_of(judged, ["position"])), encoding="utf-8")
+    info = reports.markdown(*reports.rows_of(E.dataset_info(fact)))
+    compared = reports.markdown(*reports.rows_of(judged, ["position"]))
+    (out / "comparison.md").write_text(f"{rule.describe()}\n\n{info}\n{compared}", encoding="utf-8")
     reports.write_csv(out / "per_country.csv", *reports.rows_of(E.per_country(fact), ["config", "repeat", "country"]))
     counts = stored(E.confusion_counts(fact))
     axis = E.confusion_axis(counts)
     for (config,) in [tuple(r) for r in judged.select("config").orderBy("position").collect()]:
         labels = [r["label"] for r in axis.where(F.col("config") == config).orderBy("position").collect()]
         columns, rows = reports.rows_of(E.confusion_pivot(counts, config, labels))
+        write_heat_map(labels, [list(r[1:]) for r in rows], out / f"confusion_{reports.slug(config)}.png")
         reports.write_csv(out / f"confusion_{reports.slug(config)}.csv", ["true \\ predicted", *columns[1:]], rows)
         own = fact.where(F.col("config") == config).withColumn("reasons", F.array_join("reasons", " ")).drop("config", "position")
         reports.write_csv(out / f"predictions_{reports.slug(config)}.csv", *reports.rows_of(own, ["repeat", "transaction_id", "image_id"]))
@@ -106,8 +110,8 @@ def uploads_of(source: NfsZipSource) -> DataFrame:
     ))
 
 
-def find_duplicates(spark: SparkSession, root: str, folders: list[str], out: Path, max_distance: int = D.NEAR, review_distance: int = 40) -> Path:
-    """summary.csv, groups.csv, distances.csv and close_pairs.csv of a share."""
+def find_duplicates(spark: SparkSession, root: str, folders: list[str], out: Path, max_distance: int = D.NEAR, review_distance: int = 40, review_images: bool = False) -> Path:
+    """summary.csv, groups.csv, distances.csv and close_pairs.csv of a share, and review pictures if asked for."""
     uploads = uploads_of(NfsZipSource(spark, root, folders))
     files = stored(D.distinct_files(uploads))
     groups = stored(D.file_groups(files, max_distance))
@@ -120,6 +124,10 @@ def find_duplicates(spark: SparkSession, root: str, folders: list[str], out: Pat
     reports.write_csv(out / "distances.csv", *reports.rows_of(D.distance_histogram(files), ["distance"]))
     pairs = D.close_pairs(files, review_distance, max_distance)
     reports.write_csv(out / "close_pairs.csv", *reports.rows_of(pairs, ["distance", "upload_a", "upload_b"]))
+    if review_images:
+        shown = NfsZipSource(spark, root, folders).fetch(keep_content=True).where("fetch_status = 'ok'")
+        named = shown.withColumn("folder", F.regexp_extract("reference", "([^/]+)/[^/]*$", 1))
+        write_reviews(pairs, named.select(D.upload_name().alias("name"), "content"), str(out / "review"))
     return out
 
 

@@ -73,3 +73,12 @@ def test_sweep(spark):
     rows = {(r["detector_name"], r["folder"], r["threshold"]): (r["images"], r["detected"], r["multiple"]) for r in S.threshold_counts(per, [0.25, 0.05], folders, detectors).collect()}
     assert rows["two", "f", 0.05] == (2, 2, 2) and rows["two", "f", 0.25] == (2, 2, 0)
     assert rows["nothing", "f", 0.05] == (2, 0, 0) and rows["two", "empty", 0.05] == (0, 0, 0)
+
+
+def test_dataset_info_and_latency(spark):
+    schema = FACT + ", position int, reasons array<string>"
+    rows = [(*r, 0, []) for r in ROWS] + [(*ROWS[0][:1], 2, *ROWS[0][2:], 1, []), (*ROWS[4][:1], 2, *ROWS[4][2:], 1, ["fetch_failed"])]
+    assert tuple(E.dataset_info(spark.createDataFrame(rows, schema)).first()) == (2, 1, 1, 1)
+    runs = spark.createDataFrame([("a", 10.0), ("a", 20.0)], "detector_name string, latency_ms double")
+    names = spark.createDataFrame([("a",), ("b",)], "detector_name string")
+    assert {tuple(r) for r in S.mean_latency(runs, names).collect()} == {("a", 15.0), ("b", 0.0)}

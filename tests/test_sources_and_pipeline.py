@@ -87,7 +87,8 @@ def table(path):
 
 def test_find_duplicates(spark, tmp_path):
     root, _ = share(tmp_path)
-    out = cli.main(["find-duplicates", "--root", str(root), "--folders", "tun_nid_ocr", "mar_nid_ocr", "--out", str(tmp_path / "out")], spark)
+    out = cli.main(["find-duplicates", "--root", str(root), "--folders", "tun_nid_ocr", "mar_nid_ocr", "--out", str(tmp_path / "out"), "--review-images"], spark)
+    assert len(list((out / "review").glob("*.png"))) == len(table(out / "close_pairs.csv"))
     summary = {r["folder"]: tuple(r.values())[1:] for r in table(out / "summary.csv")}
     assert summary == {"tun_nid_ocr": ("4", "3", "2", "0"), "mar_nid_ocr": ("2", "2", "2", "0")}
     groups = table(out / "groups.csv")
@@ -209,6 +210,19 @@ sweep:
     assert rows["nothing", "mar_nid_ocr", "0.05"] == ("2", "0", "0")
 
 
+def test_preview_command(spark, tmp_path, monkeypatch):
+    root, _ = share(tmp_path)
+    monkeypatch.setitem(plugins.DETECTORS, "fixed", lambda: FixedDetector([(0, 0, 20, 20, 0.3), (30, 0, 60, 40, 0.12)]))
+    config = tmp_path / "preview.yaml"
+    config.write_text(f"preview: {{root: {root}, folders: [tun_nid_ocr, mar_nid_ocr], per_folder: 5, output_dir: {tmp_path / 'p'}, detector: {{type: fixed}}}}")
+    rows = table(cli.main(["preview-detector", "--config", str(config)], spark))
+    assert [(r["folder"], r["regions"], r["confidences"]) for r in rows] == [("mar_nid_ocr", "2", "0.300 0.120")] * 2 + [("tun_nid_ocr", "2", "0.300 0.120")] * 2
+    assert len(list((tmp_path / "p").rglob("*.png"))) == 12
+    drawn = pixels.draw_boxes(solid((0, 0, 0)), [(2, 2, 20, 20)])
+    assert tuple(drawn[2, 10]) == pixels.COLOURS[0] and tuple(drawn[10, 10]) == (0, 0, 0)
+    assert pixels.thumbnail(solid((9, 9, 9), 64, 32), 16).shape == (8, 16, 3)
+
+
 def test_registry_and_reports(tmp_path):
     with pytest.raises(ValueError):
         plugins.build_detector({"type": "unknown"})
