@@ -18,6 +18,9 @@ from framewright.functions.normal import hash_text, strip
 from framewright.session import stored
 
 
+SEEDS = (1, 2, 3, 4)
+
+
 def star_links(members: DataFrame, group: str, member: str) -> DataFrame:
     """Links (a, b) from the smallest member of each group to the others: n - 1, not n²."""
     rows = members.select(
@@ -27,23 +30,56 @@ def star_links(members: DataFrame, group: str, member: str) -> DataFrame:
     return rows.join(least, "_g").where("a <> b").select("a", "b").distinct()
 
 
+def _numbered(vertices: DataFrame) -> tuple[DataFrame, int] | None:
+    """(vertex, id) and the seed of the ids, with a random-looking 64-bit id of its own for every vertex.
+
+    Ids are hashes; that none is shared is checked, with another seed if one is. None if every
+    seed fails, as it may from some billions of vertices on.
+    """
+    for seed in SEEDS:
+        ids = stored(vertices.select("vertex", F.xxhash64(F.lit(seed), "vertex").alias("id")))
+        if ids.groupBy("id").count().where("count > 1").isEmpty():
+            return ids, seed
+    return None
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, root) for every vertex of `links`; root is the smallest vertex of its group.
 
     Links have no direction; repeated links and self-links are harmless (a vertex with only
     a self-link is its own root), links with a NULL end are left out, an empty table gives an
     empty result. Other columns are ignored. Strings compare by code point.
+
+    The pruning runs on hashed ids: in the order of names, a chain of ascending names would keep
+    all its vertices and square its links; in a random order a fixed share drops out each round.
     """
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where(
         "u IS NOT NULL AND v IS NOT NULL"
     )
-    around = stored(
-        ends.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"))
+    vertices = ends.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
+    numbered = _numbered(vertices)
+    if numbered is None:  # exact as well, only not protected against ordered chains
+        ids = stored(vertices.select("vertex", F.col("vertex").alias("id")))
+        number = lambda c: F.col(c)
+    else:
+        ids, seed = numbered
+        number = lambda c: F.xxhash64(F.lit(seed), c)
+    pruned = _seed_trees(ends.select(number("u").alias("u"), number("v").alias("v")))
+    rooted = ids.join(pruned.withColumnRenamed("vertex", "id"), "id", "left").select(
+        "vertex", F.coalesce("root", "id").alias("_seed")
+    )
+    least = rooted.groupBy("_seed").agg(F.min("vertex").alias("root"))
+    return rooted.join(least, "_seed").select("vertex", "root")
+
+
+def _seed_trees(ends: DataFrame) -> DataFrame:
+    """(vertex, root) of every vertex (u, v) that has a link to another; root is the group's seed."""
+    active = stored(
+        ends.where("u <> v")
+        .select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"))
         .select("e.u", "e.v")
         .distinct()
     )
-    vertices = around.select(F.col("u").alias("vertex")).distinct()
-    active = around.where("u <> v")
     forest: list[DataFrame] = []
     while not active.isEmpty():
         proposal = active.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -73,10 +109,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         )
         rooted = stored(rooted.unionByName(below))
     if rooted is None:
-        return vertices.select("vertex", F.col("vertex").alias("root"))
-    return vertices.join(rooted, "vertex", "left").select(
-        "vertex", F.coalesce("root", "vertex").alias("root")
-    )
+        return active.select(F.col("u").alias("vertex"), F.col("v").alias("root"))  # no links: no rows
+    seeds = rooted.select("root").distinct().select(F.col("root").alias("vertex"), "root")
+    return rooted.unionByName(seeds)
 
 
 def upload_name(c):

@@ -47,6 +47,21 @@ def test_random(spark):
     check(spark, [(f"é{r.randint(0, 90)}", f"z{r.randint(0, 90)}") for _ in range(60)], "string")
 
 
+def test_shared_ids_and_the_fallback(spark, monkeypatch):
+    links = [(r, r + 1) for r in range(0, 60, 2)] + [(3, 4), (8, 9), (59, 1)]
+    monkeypatch.setattr(C, "SEEDS", ())  # as if every seed had given two vertices one id
+    check(spark, links)
+    check(spark, [])
+
+
+def test_ordered_chain_keeps_few_links(spark, monkeypatch):
+    sizes = []
+    stored = C.stored
+    monkeypatch.setattr(C, "stored", lambda df: (out := stored(df), sizes.append(out.count()))[0])
+    check(spark, [(i, i + 1) for i in range(600)])
+    assert max(sizes) < 600 * 5
+
+
 def test_upload_links(spark):
     pairs = spark.createDataFrame(
         [(3, False, " f\\1_a ", "f/2_a"), (11, True, "f/2_a", "f/9_a"), (None, True, "f/2_a", "f/8_a"), (0, None, "f/2_a", "f/2_a"), (1, True, None, "f/7_a")],
