@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +69,7 @@ def run_evaluate(spark: SparkSession, config: str) -> Path:
 
 
 class _PathSource(LocalFolderSource):
-    """Fetches files by the names in the keys, wherever they lie."""
+    """Fetches files by the names in the keys, wherever they lie: the workers open them, so no folder is listed."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -76,11 +78,17 @@ class _PathSource(LocalFolderSource):
         raise NotImplementedError("keys are given")
 
     def _files(self, keys):
-        folders = [r[0] for r in keys.select(F.regexp_replace("reference", "/[^/]*$", "")).distinct().limit(10_000).collect()]
-        reader = self.spark.read.format("binaryFile")
-        found = [f for f in folders if Path(f).is_dir()]
-        files = reader.load(found) if found else self.spark.createDataFrame([], "path string, content binary")
-        return files.select(F.regexp_replace("path", "^file:", "").alias("path"), "content")
+        names = keys.select(F.col("reference").alias("path")).where("path IS NOT NULL").distinct()
+        spread = names.repartition(self.spark.sparkContext.defaultParallelism, "path")
+        return spread.mapInPandas(_contents, "path string, content binary")
+
+
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bytes of the named files that are there, one file in memory at a time."""
+    for pdf in batches:
+        for path in pdf["path"]:
+            if Path(path).is_file():
+                yield pd.DataFrame({"path": [path], "content": [Path(path).read_bytes()]})
 
 
 def run_classify(spark: SparkSession, config: str, run: str | None) -> dict:

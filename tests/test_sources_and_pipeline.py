@@ -167,6 +167,14 @@ configurations:
         cli.main(["evaluate", "--config", str(config)], spark)
 
 
+def test_labelled_images_in_many_folders(spark, tmp_path):
+    for i in range(10_050):
+        (tmp_path / str(i)).mkdir()
+        (tmp_path / str(i) / f"{i}_front.png").write_bytes(b"x")
+    keys = spark.range(10_051).selectExpr(f"concat('{tmp_path}/', id, '/', id, '_front.png') AS reference")
+    assert cli._PathSource(spark)._files(keys).count() == 10_050
+
+
 def test_label_files(spark, tmp_path):
     path = tmp_path / "labels.csv"
     head = "transaction_id,image_id,image_path,document_type,issuing_country,document_side\n"
