@@ -40,7 +40,8 @@ CORPUS = 4000.0  # tokens that all documents together weigh on the harmless side
 CHANCE = 0.02  # expected passages by chance up to which a passage counts
 SHORT = 200  # tokens added to each text: the law holds for long ones
 SMOOTHING = 0.1  # share of the harmless passages in what counts as chance
-RARE = 2e-6  # share of all tokens up to which an unknown word may be a slip of the pen
+RARE = 2e-6  # texts, as a share of all tokens, up to which an unknown word may be a slip of the pen
+BESIDE = 3  # words on each side that tell whether a frequent word is a slip
 CACHE = 400_000  # distinct tokens a worker remembers
 
 _PIECE = re.compile(r"(?:[^\W_]|[*#@$]|!(?=[^\W_]))+")
@@ -271,34 +272,68 @@ class Reader(dict):
 
 
 def corpus_counts(documents: DataFrame) -> DataFrame:
-    """(kind, a, b, n): how often the sample's symbols, pairs and possible slips occur.
+    """(kind, a, b, n): how often the sample's symbols, pairs and possible slips occur in the distinct texts.
 
-    kind is `token`, `pair`, `slip` or `all` (number of tokens). The table is bounded by the
-    sample: its symbols, pairs of them, and the words one slip away from its words.
+    kind is `token`, `pair`, `all` (number of tokens), `slip` (texts that hold it), `at` (its places)
+    or `beside` (symbols near it). The table is bounded by the sample: its symbols, pairs of them,
+    and the words one slip away from its words.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, pairs_of = Reader(), set(sample_pairs())
         single, double, total = Counter(), Counter(), 0
+        slips, places, beside = Counter(), Counter(), Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 raw, symbols = reader.symbols(text)
                 total += len(raw)
-                single.update(symbols)
+                here = Counter(symbols)
+                single.update(here)
                 double.update(p for p in pairwise(symbols) if p in pairs_of)
+                if any(s and s[0] == SLIP_MARK for s in here):
+                    at, near = slip_places(symbols)
+                    slips.update(at.keys())
+                    places.update(at)
+                    beside.update(near)
         rows = [("all", "", "", total)]
-        rows += [
-            ("slip", s[1:], "", n) if s[0] == SLIP_MARK else ("token", s, "", n)
-            for s, n in single.items()
-            if s is not None
-        ]
+        rows += [("token", s, "", n) for s, n in single.items() if s is not None and s[0] != SLIP_MARK]
+        rows += [(kind, s, "", n) for kind, seen in (("slip", slips), ("at", places)) for s, n in seen.items()]
+        rows += [("beside", s, x, n) for (s, x), n in beside.items()]
         rows += [("pair", a, b, n) for (a, b), n in double.items()]
         yield pa.RecordBatch.from_pylist([dict(zip(("kind", "a", "b", "n"), r, strict=True)) for r in rows])
 
-    texts = documents.where("text <> ''").select("text")
+    # a text counts once: copies of an abusive text must not make its words look harmless
+    texts = documents.where("text <> ''").select("text").distinct()
     counted = texts.mapInArrow(count, "kind string, a string, b string, n long")
     return counted.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
+def slip_places(symbols: list[str | None]) -> tuple[Counter, Counter]:
+    """Places of each possible slip of a text, and how often each symbol (empty: unknown) stands near it."""
+    places, beside = Counter(), Counter()
+    for i, s in enumerate(symbols):
+        if s and s[0] == SLIP_MARK:
+            places[s[1:]] += 1
+            for x in (*symbols[max(0, i - BESIDE) : i], *symbols[i + 1 : i + 1 + BESIDE]):
+                if x is None or x[0] != SLIP_MARK:  # another possible slip tells nothing
+                    beside[s[1:], x or ""] += 1
+    return places, beside
+
+
+def _harmless_words(counts: list[tuple[str, str, str, int]], total: int, token: dict, unknown: float) -> frozenset[str]:
+    """Frequent words that only look like slips: their neighbours are, on average, no abusive ones.
+
+    Being frequent is not enough, as an insult may be misspelt by many. The bound, half of the
+    neighbours unknown and the rest even, lies between those of harmless words and of insults.
+    """
+    places = {a: n for kind, a, _, n in counts if kind == "at"}
+    near: dict[str, float] = defaultdict(float)
+    for kind, a, b, n in counts:
+        if kind == "beside":
+            near[a] += n * token.get(b, unknown)
+    often = [a for kind, a, _, n in counts if kind == "slip" and n > max(2, RARE * total)]
+    return frozenset(a for a in often if a not in places or near[a] / places[a] < BESIDE * unknown)
+
+
 def sample_symbols(text: str) -> list[list[str]]:
     reader = Reader()
     return [[s or "" for s in reader.symbols(line)[1]] for line in abuse_sample.passages(text)]
@@ -342,7 +377,6 @@ def fit(counts: list[tuple[str, str, str, int]]) -> Scores:
     single = Counter({a: n for kind, a, _, n in counts if kind == "token"})
     double = Counter({(a, b): n for kind, a, b, n in counts if kind == "pair"})
     total = max(1, sum(n for kind, _, _, n in counts if kind == "all"))
-    common = frozenset(a for kind, a, _, n in counts if kind == "slip" and n > max(2, RARE * total))
     bad = sample_symbols(abuse_sample.ABUSIVE)
     good = sample_symbols(abuse_sample.HARMLESS)
     weight = CORPUS / total
@@ -365,6 +399,7 @@ def fit(counts: list[tuple[str, str, str, int]]) -> Scores:
     pair = {p: min(2.5, max(-3.0, 0.5 * x)) for p, x in pair.items()}
     unknown = -math.log(1 + sum(bad_one.values()) / PRIOR) / 2
     unseen = -0.5
+    common = _harmless_words(counts, total, token, unknown)
     harmless = Counter(s for line in good for s in line)
     decay, scale = _extreme_value(single, total, harmless, token, unknown)
     return Scores(token, pair, unseen, unknown, decay, scale, common)

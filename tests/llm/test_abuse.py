@@ -126,3 +126,21 @@ def test_documents(spark):
     rates = {x["source"]: (x["documents"], x["abusive"]) for x in A.abuse_rates(scored).collect()}
     assert rates == {"review_note": (60 + len(ABUSIVE), len(ABUSIVE)), None: (1, 0), "x": (4, 1)}
     assert A.abuse_scores(df.limit(0)).count() == 0
+
+
+def test_frequent_slips_stay_slips(spark):
+    r = random.Random(7)
+    around = lambda n: " ".join(r.choices(FILLER, k=n))
+    insult = "you are a filthy bsatard and a wortlhess idiot"
+    rows = [(i, f"{around(20)} {insult} {around(20)}" if i < 100 else f"{around(30)} a strange screen {around(20)}", "x", 0.0, "c") for i in range(400)]
+    rows += [(1000 + i, "the clerk called him a bsatard", "x", 0.0, "c") for i in range(200)]  # copies
+    counts = [tuple(x) for x in A.corpus_counts(spark.createDataFrame(rows, DOC)).collect()]
+    texts = {a: n for kind, a, _, n in counts if kind == "slip"}
+    assert texts["bsatard"] == 101 and texts["strange"] == 300
+    common = A.fit(counts).common
+    assert "strange" in common and not {"bsatard", "wortlhes"} & common
+    found = {x["doc_id"] for x in A.found_documents(A.abuse_scores(spark.createDataFrame(rows, DOC))).collect()}
+    assert set(range(100)) <= found and not set(range(100, 400)) & found
+    copies = [(i, "you bsatard", "x", 0.0, "c") for i in range(50)]
+    counts = [tuple(x) for x in A.corpus_counts(spark.createDataFrame(rows[100:400] + copies, DOC)).collect()]
+    assert "bsatard" not in A.fit(counts).common
