@@ -4,8 +4,8 @@ Every token gets a score: the log-odds of an abusive against a harmless passage,
 with an informative Dirichlet prior whose shape is the token's frequency in all documents. The
 score of a token also holds the log-odds of the pair it forms with the token before. A linear
 scan (Ruzzo and Tompa) finds all maximal passages of a document, and an extreme-value law turns
-a passage's score into the number of such passages to expect by chance in a text of that
-length (Karlin and Altschul).
+a passage's score into the number of such passages to expect by chance in the stretch of text
+around it (Karlin and Altschul).
 
 Spelling is undone token by token and only once per distinct token: letter case, accents,
 look-alike letters, invisible characters, digits for letters, stretched letters, letters set
@@ -39,6 +39,7 @@ PAIR_PRIOR = 20.0
 CORPUS = 4000.0  # tokens that all documents together weigh on the harmless side
 CHANCE = 0.02  # expected passages by chance up to which a passage counts
 SHORT = 200  # tokens added to each text: the law holds for long ones
+STRETCH = 200  # tokens around a passage that it is judged against, so that the length of the document doesn't matter
 SMOOTHING = 0.1  # share of the harmless passages in what counts as chance
 RARE = 2e-6  # texts, as a share of all tokens, up to which an unknown word may be a slip of the pen
 BESIDE = 3  # words on each side that tell whether a frequent word is a slip
@@ -473,7 +474,7 @@ def scan(reader: Reader, scores: Scores, text: str) -> tuple[int, list[tuple[flo
         last, before = i, s
     found = []
     for a, b, score in maximal_segments(values):
-        expected = scores.expected(score, len(raw))
+        expected = scores.expected(score, min(len(raw), STRETCH))
         if expected <= CHANCE:
             found.append((score, expected, " ".join(raw[place[a] : place[b] + 1])))
     return len(raw), sorted(found, key=lambda x: x[1])
@@ -483,7 +484,7 @@ def abuse_scores(documents: DataFrame) -> DataFrame:
     """(doc_id, source, score, passages, worst): one row per document.
 
     score is -log10 of the number of passages like the document's significant ones that chance
-    would bring in it (0: none is significant), passages their number, worst the words of the
+    would bring in a stretch of text (0: none is significant), passages their number, worst the words of the
     strongest one (NULL: none). Identical rows count once; NULL and empty texts score 0. source
     is in normal spelling.
     """

@@ -144,3 +144,11 @@ def test_frequent_slips_stay_slips(spark):
     copies = [(i, "you bsatard", "x", 0.0, "c") for i in range(50)]
     counts = [tuple(x) for x in A.corpus_counts(spark.createDataFrame(rows[100:400] + copies, DOC)).collect()]
     assert "bsatard" not in A.fit(counts).common
+
+
+@pytest.mark.parametrize("text", ["stupid idiot", "connard idiot", "eres idiota", "du bist dumm", "salak aptal", "كلب غبي"])
+def test_weak_passages_in_long_texts(scores, text):
+    half = " ".join(random.Random(9).choices(FILLER, k=10_000))
+    assert len(half) > 50_000
+    assert len(A.scan(A.Reader(scores.common), scores, f"{half} {text} {half}")[1]) == len(passages(scores, text)) == 1
+    assert not A.scan(A.Reader(scores.common), scores, f"{half} {half}")[1]
