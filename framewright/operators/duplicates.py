@@ -19,6 +19,11 @@ from framewright.session import stored
 NEAR = 10  # bits of 256 up to which two pictures are the same
 
 
+def least_words() -> Column:
+    """The smallest words of a group's rows that have any; NULL if none has."""
+    return F.min(F.when(F.col(WORDS[0]).isNotNull(), F.struct(*WORDS)))
+
+
 def upload_name(prefix: str = "") -> Column:
     return F.concat(
         F.col(f"{prefix}folder"), F.lit("/"), F.col(f"{prefix}transaction_id").cast("string"),
@@ -28,12 +33,12 @@ def upload_name(prefix: str = "") -> Column:
 
 def distinct_files(uploads: DataFrame) -> DataFrame:
     """One row per sha: sha, copies, first (struct of the first upload in folder and file order),
-    w0..w3 (of the upload with the smallest words, should they differ)."""
+    w0..w3 (the smallest of the uploads that have any, should they differ)."""
     order = F.struct("folder", "path", "transaction_id", "image_id")
     return (
         uploads.where("sha IS NOT NULL")
         .groupBy("sha")
-        .agg(F.count("*").alias("copies"), F.min(order).alias("first"), F.min(F.struct(*WORDS)).alias("_w"))
+        .agg(F.count("*").alias("copies"), F.min(order).alias("first"), least_words().alias("_w"))
         .select("sha", "copies", "first", *[F.col(f"_w.{w}").alias(w) for w in WORDS])
     )
 
@@ -231,7 +236,7 @@ def greedy_distinct_sample(
     if k <= 0:
         return files.select(*names[:-1]).limit(0).withColumn("taken", F.lit(0).cast("long"))
     once = files.where("sha IS NOT NULL").groupBy(group, "sha").agg(
-        F.min(order).alias(order), F.min(F.struct(*WORDS)).alias("_w")
+        F.min(order).alias(order), least_words().alias("_w")
     ).select(group, "sha", order, *[F.col(f"_w.{w}").alias(w) for w in WORDS])
     low, high = once.agg(F.min(order).cast("double"), F.max(order).cast("double")).first()
     width = 1.0 if low is None or high <= low else (high - low) / 256

@@ -100,3 +100,13 @@ def test_gradient_bits(spark):
     df = spark.createDataFrame([([x for row in grid for x in row],)], "g array<int>")
     words = df.select(*gradient_words(F.col("g"))).first()
     assert sum((w % 2**64) << (64 * (3 - i)) for i, w in enumerate(words)) == want
+
+
+def test_a_copy_without_a_fingerprint_hides_nothing(spark):
+    a = 3 << 200
+    up = uploads(spark, [("x", 1, "f", "x/1", "s1", None), ("x", 2, "f", "x/2", "s1", hexes(a)), ("x", 3, "f", "x/3", "s2", hexes(a ^ 7)), ("x", 4, "f", "x/4", "s3", None)])
+    files = D.distinct_files(up)
+    assert {(r["sha"], r["w0"] is None) for r in files.collect()} == {("s1", False), ("s2", False), ("s3", True)}
+    assert [tuple(r) for r in D.near_pairs(files).collect()] == [("s1", "s2", 3)]
+    taken = D.greedy_distinct_sample(up.withColumn("o", F.col("transaction_id")), 5, "o")
+    assert {r["sha"] for r in taken.collect()} == {"s1", "s3"}
