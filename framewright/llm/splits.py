@@ -24,6 +24,7 @@ from framewright.llm.components import connected_components, listed_uploads, sta
 from framewright.session import stored
 
 UNITS = 128
+MAX_SPLITS = 1000  # rows of the targets table that the driver takes
 
 
 def tied_transactions(groups: DataFrame) -> DataFrame:
@@ -94,10 +95,10 @@ def grouped_splits(
     Images without a transaction_id are left out, a NULL image_id is an image like others.
     """
     spark = images.sparkSession
-    shares = {
-        r["split_name"]: float(r["target_share"] or 0)
-        for r in targets.where("split_name IS NOT NULL").limit(1000).collect()
-    }
+    rows = targets.where("split_name IS NOT NULL").limit(MAX_SPLITS + 1).collect()
+    if len(rows) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} split targets")
+    shares = {r["split_name"]: float(r["target_share"] or 0) for r in rows}
     total = sum(shares.values())
     if total <= 0:
         raise ValueError("split targets must have a positive share")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MAX_DETECTORS = 1000
 
 def image_confidences(images: DataFrame, detectors: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     """One row per image and detector: detector_name, folder, keys, confidences (descending).
@@ -15,7 +16,10 @@ def image_confidences(images: DataFrame, detectors: DataFrame, boxes: DataFrame,
         F.sort_array(F.collect_list("confidence"), asc=False).alias("confidences")
     )
     # detectors are a short list of configured names
-    grid = images.select(*keys, "folder").distinct().join(F.broadcast(detectors.select("detector_name").distinct().limit(1000)))
+    names = detectors.select("detector_name").distinct()
+    if names.limit(MAX_DETECTORS + 1).count() > MAX_DETECTORS:
+        raise ValueError(f"more than {MAX_DETECTORS} detectors")
+    grid = images.select(*keys, "folder").distinct().join(F.broadcast(names))
     return grid.join(found, [*keys, "detector_name"], "left").withColumn(
         "confidences", F.coalesce("confidences", F.array().cast("array<double>"))
     )

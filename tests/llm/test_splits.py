@@ -53,3 +53,9 @@ def test_rarest_label_first():
     placed = S.place_units(units, {"a": 0.5, "b": 0.5})
     assert Counter(placed[100 + i,] for i in range(4)) == {"a": 2, "b": 2}
     assert Counter(placed[i,] for i in range(8)) == {"a": 4, "b": 4}
+
+
+def test_too_many_targets(spark):
+    targets = [(f"s{i}", 1.0) for i in range(S.MAX_SPLITS + 1)]
+    with pytest.raises(ValueError, match="split targets"):
+        S.grouped_splits(*frames(spark, [(1, "a", "passport", "TN")], [("h", "f/1_a f/1_b")], targets))

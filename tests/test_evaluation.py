@@ -82,3 +82,12 @@ def test_dataset_info_and_latency(spark):
     runs = spark.createDataFrame([("a", 10.0), ("a", 20.0)], "detector_name string, latency_ms double")
     names = spark.createDataFrame([("a",), ("b",)], "detector_name string")
     assert {tuple(r) for r in S.mean_latency(runs, names).collect()} == {("a", 15.0), ("b", 0.0)}
+
+
+def test_too_many_detectors(spark):
+    names = spark.range(S.MAX_DETECTORS + 1).selectExpr("concat('d', id) AS detector_name")
+    images = spark.createDataFrame([(1, "a")], "k long, folder string")
+    boxes = spark.createDataFrame([], "k long, detector_name string, confidence double")
+    with pytest.raises(ValueError, match="detectors"):
+        S.image_confidences(images, names, boxes, ["k"])
+    assert S.image_confidences(images, names.limit(S.MAX_DETECTORS), boxes, ["k"]).count() == S.MAX_DETECTORS
