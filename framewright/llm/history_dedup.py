@@ -190,9 +190,9 @@ def seen_before(images: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFram
 class SegmentIndex:
     """The index on disk, for loads that come one by one.
 
-    `prints` and `hashes` keep what was accepted, `entries` the segments, sorted by bucket so
-    that a probe's bucket range prunes row groups. A probe segments and compares the load only;
-    stored entries are read as they are and never segmented again.
+    `prints` and `hashes` keep what was accepted, `entries` the segments. A probe segments and
+    compares the load only; stored entries are read as they are and never segmented again. They are
+    scanned in full, but only those in the load's buckets are counted and compared.
     """
 
     def __init__(self, spark: SparkSession, path: str, max_distance: int = MAX_DISTANCE):
@@ -214,7 +214,8 @@ class SegmentIndex:
         fresh = stored(distinct_prints(rows).withColumn("first_batch", F.lit(2**31 - 1)))
         same = keyed.join(hashes, "image_hash", "left_semi").select("id")
         known = prints.select("print_id", F.lit(0).alias("first_batch"), *WORDS)
-        entries = self._read("entries").withColumn("first_batch", F.lit(0))
+        met = index_entries(fresh, self.max_distance).select("bucket").distinct()
+        entries = self._read("entries").withColumn("first_batch", F.lit(0)).join(met, "bucket", "left_semi")
         near = probe(fresh, known, self.max_distance, old_entries=entries)
         looks = keyed.where("perceptual_hash IS NOT NULL").join(
             near.unionByName(fresh.join(known, "print_id", "left_semi").select("print_id")),

@@ -65,3 +65,15 @@ def test_loads_one_by_one(spark, tmp_path):
         got |= {r["id"] for r in index.probe(load).collect()}
         index.append(load)
     assert got == brute(rows)
+
+
+def test_only_the_loads_buckets_are_compared(spark, tmp_path, monkeypatch):
+    rows = [r for r in data(200, 5) if r[1] is not None]
+    index = H.SegmentIndex(spark, str(tmp_path / "index"))
+    index.append(spark.createDataFrame(rows[3:], IMAGE))
+    load = spark.createDataFrame(rows[:3], IMAGE)
+    seen, probe = [], H.probe
+    monkeypatch.setattr(H, "probe", lambda *a, old_entries, **k: seen.append(old_entries) or probe(*a, old_entries=old_entries, **k))
+    index.probe(load).collect()
+    own = {r["bucket"] for r in H.index_entries(H.distinct_prints(H.fetched(load))).collect()}
+    assert {r["bucket"] for r in seen[0].collect()} <= own
