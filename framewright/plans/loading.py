@@ -29,6 +29,12 @@ def _half_loaded(source: DataFrame) -> DataFrame:
     return X.rows_to_load(early, None)
 
 
+def full_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """The first run: all of the source into an empty target."""
+    source = _source(spark, folder)
+    return X.rows_to_load(X.extract(source, X.plan_window(source, None), CODE), None)
+
+
 def incremental_extract(spark: SparkSession, folder: str) -> DataFrame:
     """What the next run loads above the checkpoint, with gap-free ids."""
     source = _source(spark, folder)
@@ -99,7 +105,7 @@ def row_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        incremental_extract, backfill_window, reconcile, upsert_images, insert_ignore, ensure_reviews, gapless_ids, row_counts,
+        full_extract, incremental_extract, backfill_window, reconcile, upsert_images, insert_ignore, ensure_reviews, gapless_ids, row_counts,
     )
 }
 
@@ -111,6 +117,7 @@ target AS (SELECT row_number() OVER (ORDER BY transaction_id) AS id, * FROM want
 _IMAGES = ", ".join(_IMAGE)
 
 SQL = {
+    "full_extract": f"WITH {_SOURCE} SELECT row_number() OVER (ORDER BY transaction_id) AS id, transaction_id, time, error_codes, api_version FROM wanted",
     "incremental_extract": f"""WITH {_SOURCE}
 SELECT (SELECT max(id) FROM target) + row_number() OVER (ORDER BY transaction_id) AS id, transaction_id, time, error_codes, api_version
 FROM wanted WHERE transaction_id > (SELECT max(transaction_id) FROM target)""",

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 
 from framewright.operators import keyed as K
+from framewright.plans import loading
 from framewright.sources.storage import JdbcTables, ParquetTables, Storage, tables
 from framewright.streaming import extract as X
 
@@ -96,3 +97,9 @@ def test_gapless_and_union(spark):
     assert K.gapless_ids(None, batch.limit(0), "k").count() == 0
     both = K.union_rows(spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(2,)], "b int"))
     assert {tuple(r) for r in both.collect()} == {(1, None), (None, 2)}
+
+
+def test_first_load_takes_all_events(spark, folder):
+    events = spark.read.parquet(f"{folder}/events.parquet").where("event_type LIKE 'err%' AND event_id > 0")
+    ids = [r["id"] for r in loading.full_extract(spark, folder).orderBy("transaction_id").collect()]
+    assert ids == list(range(1, events.select("event_id").distinct().count() + 1)) and ids
