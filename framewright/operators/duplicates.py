@@ -11,12 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.functions.bits import WORDS, distance, segment_array
+from framewright.functions.bits import WORDS
+from framewright.operators import segments
 from framewright.operators.components import connected_components
 from framewright.operators.ranks import bucketed_row_number
 from framewright.session import stored
 
 NEAR = 10  # bits of 256 up to which two pictures are the same
+BLOCK = 2_048  # files of a block where all pairs are compared
 
 
 def least_words() -> Column:
@@ -43,36 +45,43 @@ def distinct_files(uploads: DataFrame) -> DataFrame:
     )
 
 
+def looks_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, w0..w3) of the distinct fingerprints, named by their smallest file, and (id, sha) of every file that has one."""
+    known = files.where(F.col("w0").isNotNull())
+    looks = known.groupBy(*WORDS).agg(F.min("sha").alias("id"))
+    return looks, known.join(looks, list(WORDS)).select("id", "sha")
+
+
 def near_pairs(files: DataFrame, max_distance: int = NEAR) -> DataFrame:
-    """(a, b, distance) of distinct files a < b by sha, at most `max_distance` bits apart.
+    """(a, b, distance): every pair of distinct files a < b by sha, at most `max_distance` bits apart.
 
-    Exact, by segments: of max_distance + 1 segments one at least is equal. Pairs are emitted for
-    files that share a segment and are verified at once; a pair found in several segments is
-    kept in the first only, so no shuffle is needed to make pairs distinct. Files with equal
-    words are first joined into one look, and looks are compared; looks come back as pairs of
-    their smallest files plus a link from each file to its look's smallest.
+    Fingerprints are compared by segments (see `segments`), once for all files that share one; pairs of
+    fingerprints are then spelt out as pairs of files, since the report asks for each.
     """
-    parts = max_distance + 1
-    known = files.where(F.col("w0").isNotNull())
-    looks = known.groupBy(*WORDS).agg(F.min("sha").alias("sha"))
-    same = known.join(looks.withColumnRenamed("sha", "_least"), list(WORDS)).where("sha <> _least")
-    same = same.select(F.col("_least").alias("a"), F.col("sha").alias("b"), F.lit(0).alias("distance"))
-    cut = looks.select("sha", *WORDS, F.posexplode(segment_array(parts)).alias("at", "segment"))
-    left = cut.select("segment", "at", F.col("sha").alias("sa"), *[F.col(w).alias(f"a{w}") for w in WORDS])
-    right = cut.select("segment", F.col("sha").alias("sb"), *[F.col(w).alias(f"b{w}") for w in WORDS])
-    met = left.join(right, "segment").where(F.col("sa") < F.col("sb"))
-    near = met.withColumn("distance", distance("a", "b")).where(F.col("distance") <= max_distance)
-    first = near.groupBy(F.col("sa").alias("a"), F.col("sb").alias("b")).agg(F.first("distance").alias("distance"))
-    return first.unionByName(same)
-
-
-def block_pairs(files: DataFrame, max_distance: int, histogram: bool, blocks: int) -> DataFrame:
+    looks, members = looks_of(files)
+    one = members.select(F.col("id").alias("a"), F.col("sha").alias("_a"))
+    two = members.select(F.col("id").alias("b"), F.col("sha").alias("_b"))
+    apart = segments.all_pairs(looks, max_distance).join(one, "a").join(two, "b")
+    same = one.join(two, F.col("a") == F.col("b")).where("_a < _b").withColumn("distance", F.lit(0))
+    both = apart.select("_a", "_b", "distance").unionByName(same.select("_a", "_b", "distance"))
+    return both.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "distance")
+
+
+def near_links(files: DataFrame, max_distance: int = NEAR) -> DataFrame:
+    """(a, b): links between files that tie the same groups as `near_pairs`, at a cost that follows the files."""
+    looks, members = looks_of(files)
+    same = members.where("sha <> id").select(F.col("id").alias("a"), F.col("sha").alias("b"))
+    return segments.links(looks, max_distance).unionByName(same)
+
+
+def block_pairs(files: DataFrame, max_distance: int, histogram: bool, block: int = BLOCK) -> DataFrame:
     """All pairs of distinct files, block against block, in numpy.
 
     histogram: (distance, pairs_same_folder, pairs_cross_folder) of every pair. Else (a, b, distance) up
-    to `max_distance`. Each file goes to `blocks` tasks; a task holds two blocks and no pair leaves
-    it but as a count or a hit. The work is quadratic, as the report asks for every pair.
+    to `max_distance`. Blocks have about `block` files whatever their number, so a task holds two blocks at any
+    scale and no pair leaves it but as a count or a hit. The work is quadratic, as the report asks for every pair.
     """
+    blocks = max(1, -(-files.where(F.col("w0").isNotNull()).count() // block))
     keyed = files.where(F.col("w0").isNotNull()).select(
         "sha", F.col("first.folder").alias("folder"), *WORDS,
         F.pmod(F.xxhash64("sha"), F.lit(blocks)).cast("int").alias("block"),
@@ -117,20 +126,18 @@ def block_pairs(files: DataFrame, max_distance: int, histogram: bool, blocks: in
     )
 
 
-def distance_histogram(files: DataFrame, blocks: int = 8) -> DataFrame:
+def distance_histogram(files: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs per distance, within and across the folders of the files' first uploads."""
-    return block_pairs(files, 0, True, blocks)
+    return block_pairs(files, 0, True, block)
 
 
-def close_pairs(files: DataFrame, review_distance: int = 40, max_distance: int = NEAR, blocks: int = 8) -> DataFrame:
-    """(distance, duplicate, upload_a, upload_b) up to `review_distance`, named by first uploads.
+def close_pairs(files: DataFrame, review_distance: int = 40, max_distance: int = NEAR, block: int = BLOCK) -> DataFrame:
+    """(distance, duplicate, upload_a, upload_b) of every pair up to `review_distance`, named by first uploads.
 
-    Small distances go through segments; large ones, whose segments are too short to select, block
-    against block.
+    Both ways give every pair: segments of 16 bits or more select well, shorter ones don't, and then block meets block.
     """
-    pairs = (
-        near_pairs(files, review_distance) if review_distance <= 15 else block_pairs(files, review_distance, False, blocks)
-    )
+    selective = 256 // (review_distance + 1) >= 16
+    pairs = near_pairs(files, review_distance) if selective else block_pairs(files, review_distance, False, block)
     named = files.select("sha", "first.*").select("sha", upload_name().alias("name"))
     return (
         pairs.join(named.select(F.col("sha").alias("a"), F.col("name").alias("upload_a")), "a")
@@ -146,7 +153,7 @@ def file_groups(files: DataFrame, max_distance: int | None = NEAR) -> DataFrame:
     """
     if max_distance is None:
         return files.select("sha", F.col("sha").alias("root"))
-    tied = connected_components(near_pairs(files, max_distance).select("a", "b"))
+    tied = connected_components(near_links(files, max_distance))
     return files.select("sha").join(tied.withColumnRenamed("vertex", "sha"), "sha", "left").select(
         "sha", F.coalesce("root", "sha").alias("root")
     )
@@ -183,7 +190,7 @@ def group_rows(uploads: DataFrame, groups: DataFrame, spread: DataFrame | None =
     )
 
 
-def group_spread(files: DataFrame, groups: DataFrame, block: int = 2048) -> DataFrame:
+def group_spread(files: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
     """(root, max_distance): the largest distance inside each group of several looks.
 
     The report's column is a maximum over all pairs of a group. Equal looks count once; a group of

@@ -44,7 +44,7 @@ def upsert(existing: DataFrame, batch: DataFrame, keys: Sequence[str], refreshed
     id, a first ingestion time) keep the existing row's values. Of a key twice in the batch the last by `order` counts.
     """
     names = existing.columns
-    last = _last_per_key(batch, keys, order)
+    last = last_per_key(batch, keys, order)
     new = last.select(*keys, F.struct(*[c for c in names if c not in keys]).alias("_new"), F.lit(True).alias("_is_new"))
     old = existing.select(*keys, F.struct(*[c for c in names if c not in keys]).alias("_old"), F.lit(True).alias("_is_old"))
     both = old.join(new, list(keys), "full_outer")
@@ -59,7 +59,8 @@ def upsert(existing: DataFrame, batch: DataFrame, keys: Sequence[str], refreshed
     return both.select(*[value(c) for c in names])
 
 
-def _last_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def last_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last row of each key by `order`; rows with a NULL key are dropped."""
     names = rows.columns
     rest = [c for c in names if c not in keys]
     known = rows.dropna(subset=list(keys), how="any")

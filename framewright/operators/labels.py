@@ -9,7 +9,7 @@ from framewright.functions.normal import DOCUMENT_SIDES, DOCUMENT_TYPES, UNKNOWN
 
 # Name patterns and file extensions of the sources.
 STEM = r"^([0-9]+)_([A-Za-z0-9-]+)$"
-ZIP_NAME = r"^([0-9]+)_([0-9]{4}-[0-9]{2}-[0-9]{2})_([0-9-]+)_(.+)_(img|url)\.zip$"
+ZIP_NAME = r"^([0-9]+)_([0-9]{4}-[0-9]{2}-[0-9]{2})_([0-9.-]+)_(front|back)_(img|url)\.zip$"
 EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif", ".tiff")
 
 

@@ -15,6 +15,7 @@ from framewright.functions.normal import (
     sql_key,
 )
 from framewright.operators import duplicates as D
+from framewright.session import stored
 from framewright.tables import table
 
 
@@ -35,27 +36,33 @@ def exact_duplicate_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def near_duplicate_groups(spark: SparkSession, folder: str) -> DataFrame:
-    up = uploads(spark, folder)
-    files = D.distinct_files(up)
-    groups = D.file_groups(files)
+    up = stored(uploads(spark, folder))
+    files = stored(D.distinct_files(up))
+    groups = stored(D.file_groups(files))
     return D.group_rows(up, groups, D.group_spread(files, groups))
 
 
 def duplicate_folder_summary(spark: SparkSession, folder: str) -> DataFrame:
-    up = uploads(spark, folder)
-    return D.folder_summary(up, D.file_groups(D.distinct_files(up)), up.select("folder"))
+    up = stored(uploads(spark, folder))
+    return D.folder_summary(up, D.file_groups(stored(D.distinct_files(up))), up.select("folder"))
 
 
 def close_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return D.close_pairs(D.distinct_files(uploads(spark, folder)), D.NEAR)
+    """Every pair of distinct files at most 10 bits apart."""
+    return D.close_pairs(stored(D.distinct_files(uploads(spark, folder))), D.NEAR)
+
+
+def near_memberships(spark: SparkSession, folder: str) -> DataFrame:
+    """The same in reduced form: every file with the smallest file of its group, and no pairs."""
+    return D.file_groups(stored(D.distinct_files(uploads(spark, folder))))
 
 
 def review_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return D.close_pairs(D.distinct_files(uploads(spark, folder)), 40)
+    return D.close_pairs(stored(D.distinct_files(uploads(spark, folder))), 40)
 
 
 def hamming_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    return D.distance_histogram(D.distinct_files(uploads(spark, folder)))
+    return D.distance_histogram(stored(D.distinct_files(uploads(spark, folder))))
 
 
 def greedy_distinct_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +80,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         exact_duplicate_groups, near_duplicate_groups, duplicate_folder_summary, close_pairs,
-        review_pairs, hamming_histogram, greedy_distinct_sample, perceptual_bits,
+        near_memberships, review_pairs, hamming_histogram, greedy_distinct_sample, perceptual_bits,
     )
 }
 
@@ -83,10 +90,10 @@ up AS (
     CASE WHEN {sql_key("fetch_status")} = 'ok' THEN {sql_hash("image_hash")} END AS sha, {sql_fingerprint("perceptual_hash")} AS p FROM images),
 firsts AS (
   SELECT sha, arg_min(struct_pack(folder := folder, t := transaction_id, i := image_id), struct_pack(a := folder, b := path, c := transaction_id, d := image_id)) AS f,
-    arg_min(p, struct_pack(a := p IS NOT NULL, b := p[1:1] < '8', c := p)) FILTER (p IS NOT NULL) AS p1, bool_or(p IS NULL) AS some_null
+    arg_min(p, struct_pack(a := p IS NOT NULL, b := p[1:1] < '8', c := p)) FILTER (p IS NOT NULL) AS p1
   FROM up WHERE sha IS NOT NULL GROUP BY sha),
 files AS (
-  SELECT sha, f, CASE WHEN NOT some_null THEN p1 END AS p FROM firsts),
+  SELECT sha, f, p1 AS p FROM firsts),
 words AS (
   SELECT sha, f, p, CAST('0x' || p[1:15] AS BIGINT) AS a1, CAST('0x' || p[16:30] AS BIGINT) AS a2, CAST('0x' || p[31:45] AS BIGINT) AS a3,
     CAST('0x' || p[46:60] AS BIGINT) AS a4, CAST('0x' || p[61:64] AS BIGINT) AS a5 FROM files WHERE p IS NOT NULL),
@@ -116,12 +123,9 @@ tied AS (SELECT up.*, root, spread FROM up JOIN roots USING (sha) LEFT JOIN wide
     "duplicate_folder_summary": f"""{_GROUPED}
 SELECT folder, count(*) AS zips, count(DISTINCT sha) AS distinct_exact, count(DISTINCT root) AS distinct_near,
   count(*) FILTER (sha IS NULL) AS unreadable FROM up LEFT JOIN roots USING (sha) GROUP BY folder""",
-    # looks by their smallest file, and a link from each other file of a look to it
-    "close_pairs": f"""WITH {_FILES},
-look AS (SELECT p, min(sha) AS least FROM words GROUP BY p)
-SELECT d AS distance, true AS duplicate, {_NAME.format("fa")} AS upload_a, {_NAME.format("fb")} AS upload_b FROM pairs
-WHERE d <= 10 AND ((a IN (SELECT least FROM look) AND b IN (SELECT least FROM look))
-  OR (d = 0 AND (SELECT least FROM words w JOIN look USING (p) WHERE w.sha = pairs.b) = a))""",
+    "close_pairs": f"""WITH {_FILES}
+SELECT d AS distance, true AS duplicate, {_NAME.format("fa")} AS upload_a, {_NAME.format("fb")} AS upload_b FROM pairs WHERE d <= 10""",
+    "near_memberships": f"{_GROUPED} SELECT sha, root FROM roots",
     "review_pairs": f"""WITH {_FILES}
 SELECT d AS distance, d <= 10 AS duplicate, {_NAME.format("fa")} AS upload_a, {_NAME.format("fb")} AS upload_b FROM pairs WHERE d <= 40""",
     "hamming_histogram": f"""WITH {_FILES}

@@ -187,5 +187,5 @@ SELECT * FROM (
     "parse_names": f"""
 SELECT DISTINCT id, CAST(regexp_extract(n, p, 1) AS BIGINT) AS transaction_id, regexp_extract(n, p, 2) AS day, regexp_extract(n, p, 3) AS time,
   regexp_extract(n, p, 4) AS image_id, regexp_extract(n, p, 5) AS kind
-FROM (SELECT id, regexp_extract(image_reference, '([^/]*)$', 1) AS n, '{L.ZIP_NAME}' AS p FROM images) WHERE regexp_matches(n, p)""",
+FROM (SELECT id, regexp_extract(image_reference, '([^/]*)$', 1) AS n, '^([0-9]+)_([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})_([0-9.-]+)_(front|back)_(img|url)\\.zip$' AS p FROM images) WHERE regexp_matches(n, p)""",
 }

@@ -1,4 +1,6 @@
-"""Incremental extraction above a high-water mark (INC-01..06, SRC-10, SRC-11, PRJ-10, PRJ-11)."""
+"""Incremental extraction above a high-water mark (INC-01..06, SRC-10, SRC-11, PRJ-10, PRJ-11).
+
+When runs start (INC-07) is a scheduler's business: `run_extract` is idempotent and may be called by any."""
 
 from __future__ import annotations
 
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.operators.keyed import gapless_ids
+from framewright.session import stored
 
 
 @dataclass(frozen=True)
@@ -80,16 +83,23 @@ def reconcile(extracted: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def run_extract(source: DataFrame, read_target: Callable[[], DataFrame | None], append: Callable[[DataFrame], None], code: str, **days: str) -> dict[str, int]:
-    """One idempotent run: plan, load what is missing, reconcile; raises if rows are missing afterwards."""
+    """One idempotent run: plan, load what is missing, reconcile; raises if rows are missing afterwards.
+
+    read_target gives None only if there is no target table yet, and raises if it can't be read. A target that
+    does not exist after rows were found is an error, not an empty table.
+    """
     target = read_target()
     window = plan_window(source, target, **days)
     found = extract(source, window, code)
-    fresh = rows_to_load(found, target)
+    fresh = stored(rows_to_load(found, target).withColumn("ingested_at", F.current_timestamp()))  # ids are given once
     loaded = fresh.count()
     if loaded:
-        append(fresh.withColumn("ingested_at", F.current_timestamp()))
+        append(fresh)
     after = read_target()
     if after is None:
+        missing = found.select("transaction_id").distinct().count()
+        if missing:
+            raise RuntimeError(f"{missing} extracted rows are not in the target, which does not exist")
         return {"extracted": 0, "loaded": 0}
     got = reconcile(found, after).first()
     if got["extracted"] != got["present"]:
@@ -107,7 +117,7 @@ def stream_extract(stream: DataFrame, code: str, read_target, append, checkpoint
     def load(batch: DataFrame, _: int) -> None:
         everything = ExtractWindow(-(2**63) + 1, 2**63 - 1)
         fresh = rows_to_load(extract(batch, everything, code), read_target())
-        append(fresh.withColumn("ingested_at", F.current_timestamp()))
+        append(stored(fresh.withColumn("ingested_at", F.current_timestamp())))
 
     query = (
         stream.writeStream.foreachBatch(load)

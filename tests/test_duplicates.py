@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.bits import gradient_words, with_words
 from framewright.operators import duplicates as D
+from framewright.operators import segments as G
 from framewright.operators.components import connected_components
 
 UPLOAD = "folder string, transaction_id long, image_id string, path string, sha string, p string"
@@ -50,13 +51,28 @@ def test_near_pairs_against_brute_force(spark):
         looks.append((f"s{i:03}", x))
     files = D.distinct_files(uploads(spark, [("x", i, "f", s, s, hexes(p)) for i, (s, p) in enumerate(looks)]))
     want = {(a, b, (x ^ y).bit_count()) for i, (a, x) in enumerate(looks) for b, y in looks[i + 1 :] if (x ^ y).bit_count() <= 10 and x != y}
-    got = {tuple(z) for z in D.near_pairs(files).collect()}
-    firsts = {}
-    for s, p in looks:
-        firsts.setdefault(p, s)
-    least = set(firsts.values())
-    assert {z for z in got if z[2]} == {z for z in want if z[0] in least and z[1] in least}
-    assert {tuple(z) for z in D.block_pairs(files, 10, False, 3).collect() if z["distance"]} == want
+    same = {(a, b, 0) for i, (a, x) in enumerate(looks) for b, y in looks[i + 1 :] if x == y}
+    got = [tuple(z) for z in D.near_pairs(files).collect()]
+    assert len(got) == len(set(got)) and set(got) == want | same
+    assert {tuple(z) for z in D.block_pairs(files, 10, False, 130).collect()} == want | same
+    whole = {tuple(z) for z in connected_components(spark.createDataFrame(sorted(want | same), "a string, b string, d int")).collect()}
+    for leader, block in ((32, 1000), (3, 7)):  # small bounds, so that every bucket is led and cut
+        looks_, members = D.looks_of(files)
+        tied = G.links(looks_, 10, leader, block).unionByName(members.where("sha <> id").select(F.col("id").alias("a"), F.col("sha").alias("b")))
+        assert {tuple(z) for z in connected_components(tied).collect()} == whole
+        ids = dict(tuple(r)[::-1] for r in members.collect())
+        assert {tuple(z) for z in G.all_pairs(looks_, 10, block).collect()} == {z for z in want if ids[z[0]] == z[0] and ids[z[1]] == z[1]}
+
+
+def test_the_review_distance_drops_no_pair(spark):
+    r = random.Random(11)
+    x = r.getrandbits(256)
+    rows = [("x", i, "f", str(i), f"s{i:02}", hexes(x ^ (r.choice([0, 1, 7, 1023]) << r.randrange(240)))) for i in range(60)]
+    files = D.distinct_files(uploads(spark, rows))
+    at = lambda d: {tuple(z) for z in D.close_pairs(files, d).where("distance <= 10").collect()}
+    bits = [int(row[5], 16) for row in rows]
+    want = sum((p ^ q).bit_count() <= 10 for i, p in enumerate(bits) for q in bits[i + 1 :])
+    assert at(10) == at(15) == at(16) == at(40) and len(at(10)) == want
 
 
 def test_greedy_sample(spark):

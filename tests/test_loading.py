@@ -4,7 +4,7 @@ import pytest
 
 from framewright.operators import keyed as K
 from framewright.plans import loading
-from framewright.sources.storage import JdbcTables, ParquetTables, Storage, tables
+from framewright.sources.storage import JdbcTables, ParquetTables, Storage, WriteConflict, tables
 from framewright.streaming import extract as X
 
 SOURCE = "id long, time timestamp, error_codes string, api_version string"
@@ -103,3 +103,41 @@ def test_first_load_takes_all_events(spark, folder):
     events = spark.read.parquet(f"{folder}/events.parquet").where("event_type LIKE 'err%' AND event_id > 0")
     ids = [r["id"] for r in loading.full_extract(spark, folder).orderBy("transaction_id").collect()]
     assert ids == list(range(1, events.select("event_id").distinct().count() + 1)) and ids
+
+
+def test_an_unreadable_target_is_no_empty_table(spark, tmp_path):
+    gone = JdbcTables(spark, "jdbc:derby:/nowhere/at/all", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    with pytest.raises(Exception, match="nowhere"):
+        gone.read("loaded")
+    with pytest.raises(Exception, match="nowhere"):
+        Storage(gone).save_images(spark.createDataFrame([image(1, "h")], IMAGE))
+    kept = []
+    with pytest.raises(RuntimeError, match="not in the target"):
+        X.run_extract(source(spark), lambda: None, kept.append, "4201")
+    assert len(kept) == 1
+
+
+@pytest.mark.parametrize("kind", ["parquet", "jdbc"])
+def test_upsert_and_keys(spark, tmp_path, kind):
+    if kind == "parquet":
+        store = ParquetTables(spark, str(tmp_path / "out"))
+    else:
+        store = JdbcTables(spark, f"jdbc:derby:{tmp_path}/db;create=true", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    storage = Storage(store)
+    storage.create_tables()
+    storage.create_tables()
+    assert storage.count_rows("reviews") == 0
+    storage.save_images(spark.createDataFrame([image(n, f"h{n}") for n in range(40)], IMAGE))
+    before = store._manifest("images")[1] if kind == "parquet" else None
+    storage.save_images(spark.createDataFrame([image(3, None, "gone", 9), image(99, "new", day=9)], IMAGE))
+    rows = {r["transaction_id"]: r for r in storage.read("images").collect()}
+    assert len(rows) == 41 and rows[3]["image_hash"] is None and rows[3]["failure_reason"] == "gone" and rows[3]["ingested_at"].day == 1
+    assert rows[99]["image_hash"] == "new" and rows[5]["image_hash"] == "h5"
+    if kind == "parquet":  # buckets without a new row are kept as they are
+        assert len(set(before) & set(store._manifest("images")[1])) >= len(before) - 2
+        with pytest.raises(WriteConflict):
+            store._commit("images", 1, [])
+    said = spark.createDataFrame([("run", "r1", "m", "passport"), ("run", "r1", "m", "other")], "run_id string, region_id string, model_name string, document_type string")
+    for _ in range(2):
+        storage.save_predictions(said)
+    assert [r["document_type"] for r in storage.read("predictions").collect()] == ["other"]
