@@ -35,13 +35,17 @@ from framewright.llm import abuse_sample
 from framewright.llm.mixing import source_name
 
 PRIOR = 40.0  # Dirichlet mass that is spread as the tokens of all documents are
-PAIR_PRIOR = 20.0
-CORPUS = 4000.0  # tokens that all documents together weigh on the harmless side
-CHANCE = 0.02  # expected passages by chance up to which a passage counts
+PAIR_PRIOR = 5.0
+CORPUS = 20_000.0  # tokens that all documents together weigh on the harmless side
+HARMLESS = 3  # times that a harmless passage counts, as documents outweigh them
+CHANCE = 0.05  # expected passages by chance up to which a passage counts
 SHORT = 200  # tokens added to each text: the law holds for long ones
 STRETCH = 200  # tokens around a passage that it is judged against, so that the length of the document doesn't matter
+SHUFFLES = 4_000  # shuffled stretches that K is fitted to
 SMOOTHING = 0.1  # share of the harmless passages in what counts as chance
-RARE = 2e-6  # texts, as a share of all tokens, up to which an unknown word may be a slip of the pen
+DOUBT = 6.0  # abusive uses that each possible slip and each word of LEXICON is credited with
+USED = 0.3  # share of abusive uses from which on a possible slip is one
+PLAIN = 2.0  # most that one word outside the insults adds
 BESIDE = 3  # words on each side that tell whether a frequent word is a slip
 CACHE = 400_000  # distinct tokens a worker remembers
 
@@ -63,8 +67,10 @@ _LETTERS = {
 }
 _LETTER_TABLE = str.maketrans(_LETTERS)
 _DIGITS = str.maketrans("01345678@$!9", "oieasgtbasig")
+_CLITICS = ("وال", "ال", "و", "ف", "ب", "ل")  # Arabic words that are written together with the next one
 _OTHER_READINGS = (("1", "l"), ("v", "u"))  # letters that a sign may stand for besides
 SLIP_MARK = "~"
+DOUBTED = "~<"  # first signs of symbols whose neighbours are counted
 SLIP = 5  # shortest word that may hold a slip of the pen
 
 
@@ -113,7 +119,7 @@ def _near(word: str) -> set[str]:
 
 @dataclass
 class Lexicon:
-    """Symbols of the sample's tokens: a class of LEXICON or the word itself."""
+    """Symbols of the sample's tokens: `<class>word` for words of LEXICON, else the word itself."""
 
     symbols: dict[str, str] = field(default_factory=dict)
     masked: dict[tuple[str, str, int], str] = field(default_factory=dict)
@@ -134,14 +140,14 @@ class Lexicon:
             for line in abuse_sample.passages(text):
                 for w in (x for t in tokens_of(line) for x in pieces_of(t)):
                     s = skeleton(w)
-                    out.symbols[s] = classes.get(s, s)
+                    out.symbols[s] = classes[s] + s if s in classes else s
                     spelt.setdefault(w, s)
                     if bad:
                         abusive.add(s)
         for words in abuse_sample.LEXICON.values():
             for w in words.split():
                 s = skeleton(w)
-                out.symbols.setdefault(s, classes[s])
+                out.symbols.setdefault(s, classes[s] + s)
                 spelt.setdefault(folded(w), s)
                 abusive.add(s)
         for word, s in sorted(spelt.items()):
@@ -154,7 +160,7 @@ class Lexicon:
                 for form in {s, word}:
                     if len(form) == SLIP - 1 and out.symbols[s].startswith("<"):
                         out.swaps["".join(sorted(form))].add((form, out.symbols[s]))
-                    if len(form) >= SLIP and form.isalpha():
+                    if len(form) >= SLIP and form.isalpha() and out.symbols[s].startswith("<"):
                         for x in _near(form):
                             out.slips[x].add((form, out.symbols[s]))
         return out
@@ -169,13 +175,17 @@ class Lexicon:
                 return self.masked.get((bare[0], bare[-1], len(bare)), "<masked>"), None
         s = skeleton(token)
         symbol = self.symbols.get(s)
+        if symbol is None and s[:1] in "والفبل":
+            for joined in _CLITICS:
+                if s.startswith(joined) and len(s) >= len(joined) + 3:
+                    symbol = symbol or self.symbols.get(s[len(joined) :])
         if symbol is None:
             for sign, letter in _OTHER_READINGS:
                 if sign in token:
                     symbol = self.symbols.get(skeleton(token.replace(sign, letter)))
                     if symbol is not None and symbol[0] == "<":
                         return symbol, None
-            symbol = None
+                    symbol = None
         if symbol is not None:
             return symbol, None
         if 2 * sum(map(str.isdigit, token)) > len(token):
@@ -204,6 +214,11 @@ def _one_slip(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or (a[i + 2 :] == b[i + 2 :] and a[i : i + 2] == b[i : i + 2][::-1])
 
 
+def kind_of(symbol: str) -> str:
+    """What pairs and the sample's counts see: the class of a word of LEXICON, else the word itself."""
+    return symbol[: symbol.index(">") + 1] if symbol[:1] == "<" else symbol
+
+
 @lru_cache(maxsize=1)
 def lexicon() -> Lexicon:
     """The sample's lexicon, built once per process."""
@@ -275,29 +290,30 @@ class Reader(dict):
 def corpus_counts(documents: DataFrame) -> DataFrame:
     """(kind, a, b, n): how often the sample's symbols, pairs and possible slips occur in the distinct texts.
 
-    kind is `token`, `pair`, `all` (number of tokens), `slip` (texts that hold it), `at` (its places)
-    or `beside` (symbols near it). The table is bounded by the sample: its symbols, pairs of them,
+    kind is `token`, `pair` (of kinds), `all` (number of tokens), `at` (places of a possible slip or a word of LEXICON)
+    or `beside` (symbols near those). The table is bounded by the sample: its symbols, pairs of them,
     and the words one slip away from its words.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, pairs_of = Reader(), set(sample_pairs())
+        reader, pairs_of, kinds = Reader(), set(sample_pairs()), {None: None}
         single, double, total = Counter(), Counter(), 0
-        slips, places, beside = Counter(), Counter(), Counter()
+        places, beside = Counter(), Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 raw, symbols = reader.symbols(text)
                 total += len(raw)
                 here = Counter(symbols)
                 single.update(here)
-                double.update(p for p in pairwise(symbols) if p in pairs_of)
-                if any(s and s[0] == SLIP_MARK for s in here):
-                    at, near = slip_places(symbols)
-                    slips.update(at.keys())
+                for x in here.keys() - kinds.keys():
+                    kinds[x] = kind_of(x)
+                double.update(p for p in pairwise(map(kinds.__getitem__, symbols)) if p in pairs_of)
+                if any(s and s[0] in DOUBTED for s in here):
+                    at, near = doubted_places(symbols)
                     places.update(at)
                     beside.update(near)
         rows = [("all", "", "", total)]
         rows += [("token", s, "", n) for s, n in single.items() if s is not None and s[0] != SLIP_MARK]
-        rows += [(kind, s, "", n) for kind, seen in (("slip", slips), ("at", places)) for s, n in seen.items()]
+        rows += [("at", s, "", n) for s, n in places.items()]
         rows += [("beside", s, x, n) for (s, x), n in beside.items()]
         rows += [("pair", a, b, n) for (a, b), n in double.items()]
         yield pa.RecordBatch.from_pylist([dict(zip(("kind", "a", "b", "n"), r, strict=True)) for r in rows])
@@ -308,36 +324,42 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
     return counted.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def slip_places(symbols: list[str | None]) -> tuple[Counter, Counter]:
-    """Places of each possible slip of a text, and how often each symbol (empty: unknown) stands near it."""
+def doubted_places(symbols: list[str | None]) -> tuple[Counter, Counter]:
+    """Places of each possible slip and word of LEXICON in a text, and how often each symbol (empty: unknown) stands near it."""
     places, beside = Counter(), Counter()
     for i, s in enumerate(symbols):
-        if s and s[0] == SLIP_MARK:
-            places[s[1:]] += 1
+        if s and s[0] in DOUBTED:
+            places[s] += 1
             for x in (*symbols[max(0, i - BESIDE) : i], *symbols[i + 1 : i + 1 + BESIDE]):
-                if x is None or x[0] != SLIP_MARK:  # another possible slip tells nothing
-                    beside[s[1:], x or ""] += 1
+                if x is None or x[0] != SLIP_MARK:  # a possible slip tells nothing
+                    beside[s, x or ""] += 1
     return places, beside
 
 
-def _harmless_words(counts: list[tuple[str, str, str, int]], total: int, token: dict, unknown: float) -> frozenset[str]:
-    """Frequent words that only look like slips: their neighbours are, on average, no abusive ones.
+def _uses(counts: list[tuple[str, str, str, int]], token: dict, unknown: float, among: float) -> dict[str, float]:
+    """Share of the uses of each possible slip and word of LEXICON, over all documents, that stand among abusive words.
 
-    Being frequent is not enough, as an insult may be misspelt by many. The bound, half of the
-    neighbours unknown and the rest even, lies between those of harmless words and of insults.
+    Read off the mean score of the words near it: 0 where all of them are unknown, 1 where they score as near the
+    words of LEXICON in the abusive passages (`among`). Being frequent is no evidence, as an insult may be used or
+    misspelt by many. DOUBT abusive uses are added, so that it takes several harmless places to doubt a word.
     """
     places = {a: n for kind, a, _, n in counts if kind == "at"}
     near: dict[str, float] = defaultdict(float)
     for kind, a, b, n in counts:
         if kind == "beside":
             near[a] += n * token.get(b, unknown)
-    often = [a for kind, a, _, n in counts if kind == "slip" and n > max(2, RARE * total)]
-    return frozenset(a for a in often if a not in places or near[a] / places[a] < BESIDE * unknown)
+    low = 2 * BESIDE * unknown
+    out = {}
+    for a, n in places.items():
+        share = min(1.0, max(0.0, (near[a] / n - low) / max(among - low, 1e-9)))
+        out[a] = (share * n + DOUBT) / (n + DOUBT)
+    return out
 
 
 def sample_symbols(text: str) -> list[list[str]]:
+    """The kinds of the symbols of each passage; empty: unknown."""
     reader = Reader()
-    return [[s or "" for s in reader.symbols(line)[1]] for line in abuse_sample.passages(text)]
+    return [[kind_of(s) if s else "" for s in reader.symbols(line)[1]] for line in abuse_sample.passages(text)]
 
 
 def sample_pairs() -> Counter:
@@ -353,9 +375,10 @@ class Scores:
     pair: dict[tuple[str, str], float]
     unseen_pair: float  # of two known symbols that the sample never has side by side
     unknown: float  # of a token outside the sample
-    decay: float  # lambda of the extreme-value law
-    scale: float  # K of the law
+    decay: float  # lambda of the extreme-value law, pairs included
+    scale: float  # K of the law, fitted to shuffled text
     common: frozenset[str]
+    kinds: dict[str, str] = field(default_factory=dict)  # symbol -> kind, where they differ
 
     def expected(self, score: float, tokens: int) -> float:
         """Passages of at least this score that chance brings in so many tokens."""
@@ -375,23 +398,28 @@ def _log_odds(bad: Counter, good: Counter, share: dict, mass: float, least: floa
 
 def fit(counts: list[tuple[str, str, str, int]]) -> Scores:
     """Scores from the sample and the counts of `corpus_counts`."""
-    single = Counter({a: n for kind, a, _, n in counts if kind == "token"})
+    words = Counter({a: n for kind, a, _, n in counts if kind == "token"})
+    single: Counter = Counter()
+    for s, n in words.items():
+        single[kind_of(s)] += n
     double = Counter({(a, b): n for kind, a, b, n in counts if kind == "pair"})
     total = max(1, sum(n for kind, _, _, n in counts if kind == "all"))
     bad = sample_symbols(abuse_sample.ABUSIVE)
     good = sample_symbols(abuse_sample.HARMLESS)
     weight = CORPUS / total
     bad_one = Counter(s for line in bad for s in line if s)
-    good_one = Counter(s for line in good for s in line if s)
+    good_one = Counter({s: HARMLESS * n for s, n in Counter(s for line in good for s in line if s).items()})
     for s, n in single.items():
         good_one[s] += n * weight
     bad_one["<masked>"] += 4
-    for s in set(lexicon().symbols.values()):  # classes and words that no passage has
+    for s in map(kind_of, lexicon().symbols.values()):  # classes that no passage has
         bad_one.setdefault(s, 0)
     share = {s: n / total for s, n in single.items()}
     token = _log_odds(bad_one, good_one, share, PRIOR, 1e-4)
+    # only an insult is abuse by itself; other words have to come together
+    token = {s: x if s in ("<insult>", "<masked>") else min(x, PLAIN) for s, x in token.items()}
     bad_two = Counter(p for line in bad for p in pairwise(line))
-    good_two = Counter(p for line in good for p in pairwise(line))
+    good_two = Counter({p: HARMLESS * n for p, n in Counter(p for line in good for p in pairwise(line)).items()})
     for p, n in double.items():
         good_two[p] += n * weight
     pair_share = {p: n / total for p, n in double.items()}
@@ -400,32 +428,69 @@ def fit(counts: list[tuple[str, str, str, int]]) -> Scores:
     pair = {p: min(2.5, max(-3.0, 0.5 * x)) for p, x in pair.items()}
     unknown = -math.log(1 + sum(bad_one.values()) / PRIOR) / 2
     unseen = -0.5
-    common = _harmless_words(counts, total, token, unknown)
+    value = token | {s: token[kind_of(s)] for s in {*lexicon().symbols.values(), *words} if kind_of(s) in token}
+    # a passage stands in unknown text
+    padded = [[""] * BESIDE + line + [""] * BESIDE for line in bad]
+    around = [
+        sum(value.get(x, unknown) for x in (*line[i - BESIDE : i], *line[i + 1 : i + 1 + BESIDE]))
+        for line in padded for i, s in enumerate(line) if s[:1] == "<"
+    ]
+    uses = _uses(counts, value, unknown, sum(around) / max(len(around), 1))
+    common = frozenset(s[1:] for s, x in uses.items() if s[0] == SLIP_MARK and x < USED)
+    token = {s: x + math.log(uses.get(s, 1.0)) if s[:1] == "<" else x for s, x in value.items()}
     harmless = Counter(s for line in good for s in line)
-    decay, scale = _extreme_value(single, total, harmless, token, unknown)
-    return Scores(token, pair, unseen, unknown, decay, scale, common)
+    decay, scale = _extreme_value(words, total, harmless, token, pair, unseen, unknown)
+    kinds = {s: kind_of(s) for s in token if kind_of(s) != s}
+    return Scores(token, pair, unseen, unknown, decay, scale, common, kinds)
 
 
-def _extreme_value(single: Counter, total: int, harmless: Counter, token: dict, unknown: float) -> tuple[float, float]:
-    """lambda and K for tokens drawn by chance: E[exp(lambda * score)] = 1.
+def _extreme_value(
+    single: Counter, total: int, harmless: Counter, token: dict, pair: dict, unseen: float, unknown: float
+) -> tuple[float, float]:
+    """lambda and K of the law for shuffled text: all documents' tokens in random order, as the scan scores them.
 
-    Chance draws from all documents, and in SMOOTHING of the draws from the harmless passages, so
-    that words that look abusive are always among them, however few documents there are.
+    Scores depend on the token before, too, so lambda is the value at which the matrix p_j * exp(lambda * score_ij)
+    has a leading eigenvalue of 1 (the law for scores along a Markov chain). K is the maximum-likelihood
+    fit to the best passages of SHUFFLES shuffled stretches. Chance draws from the counts of all documents and, in
+    SMOOTHING of the draws, from the harmless passages, so that words that look abusive are always among them.
     """
     known = sum(single.values())
     kinds = sorted({*single, *harmless} - {""})
-    scores = np.array([unknown, *[token.get(s, unknown) for s in kinds]])
+    place = {s: i + 1 for i, s in enumerate(kinds)}  # 0 is any token outside the sample
     corpus = np.array([max(total - known, 1), *[single[s] for s in kinds]], dtype=float)
     sample = np.array([harmless[""], *[harmless[s] for s in kinds]], dtype=float)
     p = (1 - SMOOTHING) * corpus / corpus.sum() + SMOOTHING * sample / max(sample.sum(), 1)
+    scores = np.array([unknown, *[token.get(s, unknown) for s in kinds]])
+    both = np.full((len(p), len(p)), unseen) + scores[None, :]
+    of = defaultdict(list)
+    for s, i in place.items():
+        of[kind_of(s)].append(i)
+    for (a, b), x in pair.items():
+        for i in of.get(a, ()):
+            both[i, of.get(b, [])] = scores[of.get(b, [])] + x
+    both[0, :] = scores  # after an unknown token there is no pair
+    both[:, 0] = unknown
+
+    def leading(decay: float) -> float:
+        step = p[None, :] * np.exp(decay * both)
+        v, most = np.ones(len(p)), 1.0
+        for _ in range(40):
+            v = step @ v
+            most = v.max()
+            v /= most
+        return most
+
     low, high = 1e-3, 5.0
-    for _ in range(60):
+    for _ in range(30):
         mid = (low + high) / 2
-        if float((p * np.exp(mid * scores)).sum()) < 1:
-            low = mid
-        else:
-            high = mid
-    return low, 0.1
+        low, high = (mid, high) if leading(mid) < 1 else (low, mid)
+    drawn = np.random.default_rng(10).choice(len(p), size=(SHUFFLES, STRETCH), p=p)
+    best = run = np.zeros(SHUFFLES)
+    for i in range(STRETCH):
+        x = scores[drawn[:, 0]] if i == 0 else both[drawn[:, i - 1], drawn[:, i]]
+        run = np.maximum(run + x, 0.0)
+        best = np.maximum(best, run)
+    return low, SHUFFLES / ((STRETCH + SHORT) * float(np.exp(-low * best).sum()))
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -458,6 +523,7 @@ def scan(reader: Reader, scores: Scores, text: str) -> tuple[int, list[tuple[flo
     place: list[int] = []
     last, before = -1, None
     token, pair, unseen, unknown = scores.token, scores.pair, scores.unseen_pair, scores.unknown
+    kinds = scores.kinds
     for i, s in enumerate(symbols):
         if s is None:
             continue
@@ -466,12 +532,12 @@ def scan(reader: Reader, scores: Scores, text: str) -> tuple[int, list[tuple[flo
             values.append(gap * unknown)
             place.append(i - 1)
             before = None
-        x = token.get(s, unknown)
+        x, kind = token.get(s, unknown), kinds.get(s, s)
         if before is not None:
-            x += pair.get((before, s), unseen)
+            x += pair.get((before, kind), unseen)
         values.append(x)
         place.append(i)
-        last, before = i, s
+        last, before = i, kind
     found = []
     for a, b, score in maximal_segments(values):
         expected = scores.expected(score, min(len(raw), STRETCH))
@@ -502,7 +568,7 @@ def abuse_scores(documents: DataFrame) -> DataFrame:
                 found = scan(reader, scores, text)[1] if text else []
                 score.append(-sum(math.log10(max(x[1], 1e-300)) for x in found))
                 passages.append(len(found))
-                worst.append(found[0][2][:500] if found else None)
+                worst.append(found[0][2] if found else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("source"), pa.array(score, "double"), pa.array(passages, "int64"), pa.array(worst, "string")],
                 names=["doc_id", "source", "score", "passages", "worst"],

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from framewright.llm import abuse as A
+from framewright.llm import abuse_sample as S
 
 DOC = "doc_id long, text string, source string, score double, worst string"
 FILLER = "the reviewer compared the upload with the earlier picture and the case was closed . ".split()
@@ -20,14 +21,18 @@ def _counts(texts):
     from itertools import pairwise
 
     reader, pairs = A.Reader(), set(A.sample_pairs())
-    one, two, total = Counter(), Counter(), 0
+    counts = Counter()
     for t in texts:
         words, symbols = reader.symbols(t)
-        total += len(words)
-        one.update(s for s in symbols if s)
-        two.update(p for p in pairwise(symbols) if p in pairs)
-    kinds = [("slip", s[1:], "", n) if s[0] == A.SLIP_MARK else ("token", s, "", n) for s, n in one.items()]
-    return [("all", "", "", total), *kinds, *(("pair", a, b, n) for (a, b), n in two.items())]
+        counts["all", "", ""] += len(words)
+        counts.update(("token", s, "") for s in symbols if s and s[0] != A.SLIP_MARK)
+        counts.update(("pair", *p) for p in pairwise(A.kind_of(s) if s else None for s in symbols) if p in pairs)
+        at, near = A.doubted_places(symbols)
+        for s, n in at.items():
+            counts["at", s, ""] += n
+        for k, n in near.items():
+            counts["beside", *k] += n
+    return [(*k, n) for k, n in counts.items()]
 
 
 def passages(scores, text):
@@ -50,7 +55,7 @@ ABUSIVE = [
     "Va te faire foutre, toi et ta famille",
     "Vete a la mierda, hijo de puta",
     "Halt die Fresse, du Arschloch",
-    "Ich werde dich umbringen",
+    "Pass auf, ich werde dich umbringen!",
     "Siktir git, aptal",
     "اخرس يا ح_م_ا_ر",
     "سوف أقتلك عندما تخرج من هنا",
@@ -135,8 +140,8 @@ def test_frequent_slips_stay_slips(spark):
     rows = [(i, f"{around(20)} {insult} {around(20)}" if i < 100 else f"{around(30)} a strange screen {around(20)}", "x", 0.0, "c") for i in range(400)]
     rows += [(1000 + i, "the clerk called him a bsatard", "x", 0.0, "c") for i in range(200)]  # copies
     counts = [tuple(x) for x in A.corpus_counts(spark.createDataFrame(rows, DOC)).collect()]
-    texts = {a: n for kind, a, _, n in counts if kind == "slip"}
-    assert texts["bsatard"] == 101 and texts["strange"] == 300
+    places = {a: n for kind, a, _, n in counts if kind == "at"}
+    assert places["~bsatard"] == 101 and places["~strange"] == 300  # copies count once
     common = A.fit(counts).common
     assert "strange" in common and not {"bsatard", "wortlhes"} & common
     found = {x["doc_id"] for x in A.found_documents(A.abuse_scores(spark.createDataFrame(rows, DOC))).collect()}
@@ -146,6 +151,78 @@ def test_frequent_slips_stay_slips(spark):
     assert "bsatard" not in A.fit(counts).common
 
 
+def test_a_slip_is_judged_alike_in_corpora_of_any_size():
+    r = random.Random(2)
+    plain = [" ".join(r.choices(FILLER, k=60)) for _ in range(300)]
+    few, many = (plain + [f"{x} you are a filthy bsatard {x}" for x in plain[:n]] for n in (3, 60))
+    assert "bsatard" not in A.fit(_counts(few)).common and "bsatard" not in A.fit(_counts(many)).common
+
+
+def test_words_with_another_meaning_lose_their_weight(scores):
+    # the English insult is the French word for a delay
+    delays = [f"le dossier {i} arrive avec du retard sur la date prevue" for i in range(300)]
+    r = random.Random(1)
+    own = A.fit(_counts([" ".join(r.choices(FILLER, k=60)) for _ in range(200)] + delays))
+    assert own.token["<insult>retard"] < scores.token["<insult>retard"] - 1
+    assert not A.scan(A.Reader(own.common), own, delays[0])[1]
+    assert A.scan(A.Reader(own.common), own, f"{delays[0]} you stupid retard")[1]
+
+
+def test_the_sample_is_independent():
+    """No passage has five words in a row with a test document, and none of the wordings tested here is in it."""
+    import pandas as pd
+
+    def runs(text, n=5):
+        w = [A.skeleton(x) for t in A.tokens_of(text) for x in A.pieces_of(t)]
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].dropna().unique()
+    seen = set().union(*map(runs, texts))
+    lines = S.passages(S.ABUSIVE) + S.passages(S.HARMLESS)
+    assert len(lines) > 1000 and not [x for x in lines if runs(x) & seen]
+    own = {" ".join(A.tokens_of(x)) for x in lines}
+    assert not [x for x in ABUSIVE + HELD_OUT if " ".join(A.tokens_of(x)) in own]
+
+
+HELD_OUT = [
+    "honestly you are the dumbest cow that ever answered a phone",
+    "one more word and i break your jaw",
+    "people of her sort ought to be gassed",
+    "let me see those tits before we go on",
+    "nobody here can stand you, you revolting pervert",
+    "quelle bande d'abrutis, allez tous crever",
+    "on devrait vous pendre, sales ordures",
+    "eres la cerda mas tonta que conozco",
+    "si vuelves te voy a romper los dientes",
+    "solche Schmarotzer gehören an die Wand gestellt und erschossen",
+    "halt endlich die Schnauze, du dumme Nutte",
+    "böyle beyinsiz bir köpek görmedim",
+    "seni bulur gebertirim serefsiz",
+    "والله ساكسر راسك يا حيوان",
+    "انت وكل عائلتك كلاب وخنازير",
+]
+
+
+@pytest.mark.parametrize("text", HELD_OUT)
+def test_wordings_the_sample_lacks(scores, text):
+    assert passages(scores, text)
+
+
+def test_the_law_is_calibrated(scores):
+    """In shuffled text, chance brings about as many passages as the law expects."""
+    import numpy as np
+
+    r = random.Random(3)
+    tokens = [x for line in S.passages(S.HARMLESS) for x in A.tokens_of(line)] + FILLER * 400
+    reader, hits, n = A.Reader(scores.common), 0, 1500
+    wide = A.Scores(**{**vars(scores), "scale": 1e-9})  # every passage is told, whatever its expectation
+    for _ in range(n):
+        found = A.scan(reader, wide, " ".join(r.choices(tokens, k=A.STRETCH)))[1]
+        best = max((x[0] for x in found), default=0.0)
+        hits += scores.expected(best, A.STRETCH) <= 0.5
+    assert np.log(hits / n) == pytest.approx(np.log(1 - np.exp(-0.5)), abs=1.5)
+
+
 @pytest.mark.parametrize("text", ["stupid idiot", "connard idiot", "eres idiota", "du bist dumm", "salak aptal", "كلب غبي"])
 def test_weak_passages_in_long_texts(scores, text):
     half = " ".join(random.Random(9).choices(FILLER, k=10_000))
