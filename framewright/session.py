@@ -67,17 +67,23 @@ def stored(df: DataFrame) -> DataFrame:
     or the end of the process, as plans made from it may still be run.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    path = scratch(spark, "stored")
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, which `purge_stored` deletes."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     if not _STORED:
         atexit.register(purge_stored)
     _STORED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def purge_stored() -> None:
-    """Delete the tables of `stored`; no plan made from them may be run afterwards."""
+    """Delete what `stored` and `scratch` made; no plan made from them may be run afterwards."""
     while _STORED:
         spark, path = _STORED.pop()
         with contextlib.suppress(Exception):
