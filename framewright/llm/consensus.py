@@ -12,15 +12,20 @@ of a first fit, left out of the second, and vote once together for a label.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from framewright.functions.normal import document_type, issuing_country, key_text
-from framewright.session import checkpointed, stored
+from framewright.llm.components import connected_components
+from framewright.session import stored
 
 FIELDS = ("document_type", "issuing_country")
 COPY_EXCESS = 0.35  # of the possible agreement beyond the fitted one
-ROUNDS = 8
+CERTAIN = 2.0  # standard errors of an agreement by which it must exceed that
+TOLERANCE = 5e-4  # change of the unit eigenvectors at which the iteration has converged
+COARSE = 5e-3  # the same for the first fit, which only has to tell copies from others
+MAX_ROUNDS = 200  # an iteration that has not converged by then raises
+PACK = 100_000  # rows of the small matrices and vectors per partition
 
 
 def answers(predictions: DataFrame) -> DataFrame:
@@ -120,31 +125,56 @@ def centred(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def leading(matrix: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(field, a, v) with v_a * v_b near x of each pair: the leading eigenvector, scaled.
+def packed(df: DataFrame) -> DataFrame:
+    """Cut from its lineage, in as many partitions as its rows ask for.
 
-    Each round joins the vector to the matrix and sums by row, weighted by overlap, over the
-    pairs there are, so that missing pairs and the missing diagonal do not pull it down. The
-    new vector is averaged with the old one, which keeps its length from swinging.
+    Tables of models and labels mostly fit in one; joins and sums over single partitions need no shuffle, so
+    a round is one task. The plan is the same at any size, only the number of partitions follows the rows.
     """
-    vector = matrix.groupBy("field", "a").agg(F.lit(0.7).alias("v"))
-    for k in range(rounds):
-        other = vector.select("field", F.col("a").alias("b"), F.col("v").alias("w"))
-        step = (
-            matrix.join(other, ["field", "b"])
-            .groupBy("field", "a")
-            .agg(
-                (F.sum(F.col("n") * F.col("x") * F.col("w"))
-                 / F.greatest(F.sum(F.col("n") * F.col("w") * F.col("w")), F.lit(1e-9))).alias("new")
-            )
-        )
-        vector = vector.join(step, ["field", "a"]).select(
-            "field", "a",
-            ((F.col("v") + F.least(F.greatest("new", F.lit(0.001)), F.lit(1.0))) / 2).alias("v"),
+    held = stored(df)
+    return held.coalesce(-(-held.count() // PACK) or 1)
+
+
+def leading(matrix: DataFrame, answered: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(field, a, v) with v_a * v_b near x of each pair, from the leading eigenvectors of both matrices.
+
+    matrix: field, a, b, n, x for a <> b, both ways. answered: field, a, n (the model's own answers). A round
+    multiplies the agreement matrix (n * x) by the vector s and the overlap matrix (n) by t, by one join and one sum per row, and
+    scales both to length 1; the lengths before are the eigenvalues. The diagonal is each model's agreement with
+    itself, which nobody measured: it is completed as n_a * v_a², from the present v = s / t * sqrt(of the
+    ratio of the eigenvalues). Rounds end when neither vector changes by more than `tolerance`.
+    """
+    if matrix.isEmpty():
+        return answered.select("field", "a", F.lit(None).cast("double").alias("v")).limit(0)
+    own = matrix.select("field", "a").distinct().join(answered, ["field", "a"])
+    size = own.groupBy("field").agg(F.count("*").alias("_k"))  # one row per field
+    one = 1 / F.sqrt("_k")
+    state = packed(
+        own.join(size, "field").select("field", "a", "n", one.alias("s"), one.alias("t"), F.lit(0.5).alias("v"), F.lit(1.0).alias("change"))
+    )
+    parts = state.rdd.getNumPartitions()
+    for _ in range(MAX_ROUNDS):
+        other = state.select("field", F.col("a").alias("b"), F.col("s").alias("_s"), F.col("t").alias("_t"))
+        rows = matrix.join(other, ["field", "b"]).groupBy("field", "a").agg(
+            F.sum(F.col("n") * F.col("x") * F.col("_s")).alias("_ps"), F.sum(F.col("n") * F.col("_t")).alias("_pt")
+        )
+        raw = state.join(rows, ["field", "a"]).withColumns({
+            "_ps": F.col("_ps") + F.col("n") * F.col("v") * F.col("v") * F.col("s"), "_pt": F.col("_pt") + F.col("n") * F.col("t"),
+        })
+        length = raw.groupBy("field").agg(
+            F.greatest(F.sqrt(F.sum(F.col("_ps") * F.col("_ps"))), F.lit(1e-300)).alias("_ls"), F.sqrt(F.sum(F.col("_pt") * F.col("_pt"))).alias("_lt")
+        )  # one row per field
+        s, t = F.col("_ps") / F.col("_ls"), F.col("_pt") / F.col("_lt")
+        v = F.least(F.greatest(F.sqrt(F.col("_ls") / F.col("_lt")) * s / t, F.lit(0.001)), F.lit(1.0))
+        moved = raw.join(length, "field").select(
+            "field", "a", "n", s.alias("s"), t.alias("t"), v.alias("v"),
+            F.greatest(F.abs(s - F.col("s")), F.abs(t - F.col("t"))).alias("change"),
         )
-        if k % 4 == 3:
-            vector = checkpointed(vector)
-    return vector
+        seen = Observation()  # read while the round is written
+        state = stored(moved.observe(seen, F.max("change").alias("change"))).coalesce(parts)
+        if seen.get["change"] <= tolerance:
+            return state.select("field", "a", "v")
+    raise RuntimeError(f"the reliabilities did not converge in {MAX_ROUNDS} rounds")
 
 
 def label_shares(labels: DataFrame, vector: DataFrame) -> DataFrame:
@@ -163,9 +193,10 @@ def reliabilities(regions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     reliability is the probability of knowing the label; else a model guesses by its own label
     frequencies. copies: (model_name, copies_of), for models that are copies of each other.
     """
-    labels = checkpointed(label_counts(regions))
-    matrix = checkpointed(centred(agreement(regions), labels))
-    first = leading(matrix)
+    labels = packed(label_counts(regions))
+    matrix = packed(centred(agreement(regions), labels))
+    answered = packed(labels.groupBy("field", F.col("model_name").alias("a")).agg(F.sum("n").alias("n")))
+    first = leading(matrix, answered, COARSE)
     fitted = (
         matrix.join(first.withColumnRenamed("v", "va"), ["field", "a"])
         .join(first.select("field", F.col("a").alias("b"), F.col("v").alias("vb")), ["field", "b"])
@@ -174,22 +205,23 @@ def reliabilities(regions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     spread = label_shares(labels, first).groupBy("field").agg(
         (1 - F.sum(F.col("share") * F.col("share"))).alias("spread")
     )
-    # agreement that the fit leaves over, of what it could leave over at most
-    excess = (F.col("x") - F.col("fit")) / F.greatest(F.col("spread") - F.col("fit"), F.lit(0.05))
-    copied = checkpointed(
-        fitted.join(spread, "field").withColumn("excess", excess)
-        .where((F.col("excess") > COPY_EXCESS) & (F.col("n") >= 20))
+    # agreement beyond the fit, less its error, against what it could be at most
+    sure = F.col("x") - F.col("fit") - CERTAIN * 0.5 / F.sqrt("n")
+    copied = stored(
+        fitted.join(spread, "field")
+        .where(sure > COPY_EXCESS * F.greatest(F.col("spread") - F.col("fit"), F.lit(0.05)))
         .select("a", "b").distinct()
     )
-    second = checkpointed(leading(matrix.join(copied, ["a", "b"], "left_anti")))
-    shares = checkpointed(label_shares(labels, second))
+    copies = packed(connected_components(copied).select(F.col("vertex").alias("model_name"), F.col("root").alias("copies_of")))
+    # pairs inside a family say nothing about knowing labels, also those that agree less than others
+    of = copies.select(F.col("model_name").alias("a"), F.col("copies_of").alias("_fa"))
+    to = copies.select(F.col("model_name").alias("b"), F.col("copies_of").alias("_fb"))
+    apart = matrix.join(of, "a", "left").join(to, "b", "left").where(~F.coalesce(F.col("_fa") == F.col("_fb"), F.lit(False)))
+    second = leading(packed(apart.select(*matrix.columns)), answered)
+    shares = packed(label_shares(labels, second))
     spread = shares.groupBy("field").agg(
         (1 - F.sum(F.col("share") * F.col("share"))).alias("spread")
     )
-    # copies of one model all agree with each other: one step finds the smallest name
-    copies = copied.groupBy(F.col("a").alias("model_name")).agg(
-        F.least(F.min("b"), F.first("a")).alias("copies_of")
-    )
     told = labels.groupBy("field", "model_name").agg(F.sum("n").alias("answers"))
     rated = (
         told.join(second.withColumnRenamed("a", "model_name"), ["field", "model_name"], "left")
@@ -216,7 +248,7 @@ def consensus(given: DataFrame) -> tuple[DataFrame, DataFrame]:
     regions = stored(by_region(given))
     rated, labels, shares, copies = reliabilities(regions)
     # how much a vote of this model for this label speaks for the label
-    weights = checkpointed(
+    weights = packed(
         labels.join(rated.select("field", "model_name", "reliability"), ["field", "model_name"])
         .join(copies, "model_name", "left")
         .select(
@@ -232,6 +264,8 @@ def consensus(given: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.struct(F.lit(f).alias("field"), F.col(f"x.{f}").alias("label")) for f in FIELDS
         ])).alias("s"),
     ).where("s.label IS NOT NULL").select("region_id", "model_name", "s.field", "s.label")
+    if weights.count() <= PACK:  # models x labels; a broadcast keeps the few models from becoming hot join keys
+        weights = F.broadcast(weights)
     weighed = votes.join(weights, ["field", "model_name", "label"]).repartition("region_id")
     once = weighed.groupBy("region_id", "field", "label", "voter").agg(
         F.max("weight").alias("weight"), F.count("*").alias("n")
@@ -240,7 +274,7 @@ def consensus(given: DataFrame) -> tuple[DataFrame, DataFrame]:
     summed = once.groupBy("region_id", "field", "label").agg(
         F.sum("weight").alias("weight"), F.sum("n").alias("n")
     )
-    scored = summed.join(F.broadcast(prior), ["field", "label"])  # taxonomy-sized
+    scored = summed.join(F.broadcast(prior), ["field", "label"])  # labels of the taxonomy: 6 types, two-letter countries
     best = scored.groupBy("region_id").agg(
         *[
             F.min(F.when(F.col("field") == f, F.struct(

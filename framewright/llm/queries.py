@@ -17,6 +17,7 @@ from framewright.llm import (
     splits,
     stable_sample,
 )
+from framewright.session import scratch
 from framewright.tables import table
 
 
@@ -54,7 +55,8 @@ def p3_reliability(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return history_dedup.seen_before(table(spark, folder, "images"))
+    """Every load through an index of its own, in the shared folder."""
+    return history_dedup.seen_before(table(spark, folder, "images"), scratch(spark, "segment-index"))
 
 
 def _upload_components(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 from framewright.llm import history_dedup as H
+from framewright.sources.storage import WriteConflict
 
 IMAGE = "id int, batch_no int, fetch_status string, image_hash string, perceptual_hash string, print_id string"
 
@@ -36,24 +39,22 @@ def data(n=500, seed=3, family=0.3):
     return rows + rows[:20]
 
 
-def found(df, **options):
-    return {r["id"] for r in H.seen_before(df, **options).collect()}
+def found(df, path, **options):
+    return {r["id"] for r in H.seen_before(df, str(path), **options).collect()}
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, tmp_path):
     rows = data()
     df = spark.createDataFrame(rows, IMAGE)
-    assert found(df) == brute(rows)
-    assert found(df.limit(0)) == set()
+    assert found(df, tmp_path / "a") == brute(rows)
+    assert found(df.limit(0), tmp_path / "b") == set()
 
 
-def test_hot_buckets_are_cut_without_loss(spark):
+def test_hot_buckets_are_cut_without_loss(spark, tmp_path):
     rows = data(300, 8)
     df = spark.createDataFrame(rows, IMAGE)
-    prints = H.distinct_prints(H.fetched(df))
-    plain = {r[0] for r in H.probe(prints, prints, leader=10**9).collect()}
-    for hot, leader in ((4, 2), (16, 4), (10**9, 2)):
-        assert {r[0] for r in H.probe(prints, prints, hot=hot, leader=leader).collect()} == plain
+    for i, (hot, leader) in enumerate(((4, 2), (16, 4), (10**9, 2))):
+        assert found(df, tmp_path / str(i), hot=hot, leader=leader) == brute(rows)
 
 
 def test_loads_one_by_one(spark, tmp_path):
@@ -62,18 +63,57 @@ def test_loads_one_by_one(spark, tmp_path):
     got = set()
     for batch in sorted({r[1] for r in rows}):
         load = spark.createDataFrame([r for r in rows if r[1] == batch], IMAGE)
-        got |= {r["id"] for r in index.probe(load).collect()}
-        index.append(load)
+        told = {r["id"] for r in index.probe(load).collect()}
+        assert {r["id"] for r in index.accept(load).collect()} == told
+        got |= told
     assert got == brute(rows)
 
 
+def test_a_large_side_is_not_broadcast(spark, tmp_path, monkeypatch):
+    rows = data(200, 6)
+    monkeypatch.setattr(H, "SMALL", 10)
+    assert found(spark.createDataFrame(rows, IMAGE), tmp_path) == brute(rows)
+
+
 def test_only_the_loads_buckets_are_compared(spark, tmp_path, monkeypatch):
     rows = [r for r in data(200, 5) if r[1] is not None]
     index = H.SegmentIndex(spark, str(tmp_path / "index"))
     index.append(spark.createDataFrame(rows[3:], IMAGE))
     load = spark.createDataFrame(rows[:3], IMAGE)
     seen, probe = [], H.probe
-    monkeypatch.setattr(H, "probe", lambda *a, old_entries, **k: seen.append(old_entries) or probe(*a, old_entries=old_entries, **k))
+    monkeypatch.setattr(H, "probe", lambda fresh, known, *a: seen.append((fresh, known)) or probe(fresh, known, *a))
     index.probe(load).collect()
-    own = {r["bucket"] for r in H.index_entries(H.distinct_prints(H.fetched(load))).collect()}
-    assert {r["bucket"] for r in seen[0].collect()} <= own
+    fresh, known = ({r["bucket"] for r in x.collect()} for x in seen[0])
+    assert known <= fresh
+
+
+def test_a_load_is_added_as_a_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    rows = [r for r in data(120, 4) if r[1] is not None]
+    old, new = (spark.createDataFrame([r for r in rows if (r[1] > 5) == late], IMAGE) for late in (False, True))
+    index = H.SegmentIndex(spark, str(tmp_path / "index"))
+    index.append(old)
+    want = {r["id"] for r in index.probe(new).collect()}
+
+    def lost(name, df, write=H.SegmentIndex._write):
+        if name == "prints":
+            raise OSError("lost")
+        return write(index, name, df)
+
+    monkeypatch.setattr(index, "_write", lost)
+    with pytest.raises(OSError):
+        index.accept(new)
+    monkeypatch.undo()
+    assert {r["id"] for r in index.accept(new).collect()} == want  # nothing of the lost attempt counts
+    assert {r["id"] for r in index.probe(new).collect()} == {r[0] for r in rows if r[1] > 5 and r[2].strip().lower() == "ok" and (r[3] or r[4])}
+    version, parts = index.versions._manifest("index")
+    assert version == 2 and len(parts) == 6
+    with pytest.raises(WriteConflict):  # a second writer that began from version 1
+        index.versions._commit("index", 1, parts)
+
+
+def test_waves_double_the_index():
+    counts = {b: 10 for b in range(1, 41)}
+    got = H.waves(counts)
+    assert got == [(1, 5), (6, 10), (11, 20), (21, 40)]
+    assert H.waves({}) == [] and H.waves({7: 3}) == [(7, 7)]
+    assert H.waves({1: 1, 2: 1, 3: 100}) == [(1, 3)]
