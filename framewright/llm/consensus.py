@@ -24,6 +24,7 @@ COPY_EXCESS = 0.35  # of the possible agreement beyond the fitted one
 CERTAIN = 2.0  # standard errors of an agreement by which it must exceed that
 TOLERANCE = 5e-4  # change of the unit eigenvectors at which the iteration has converged
 COARSE = 5e-3  # the same for the first fit, which only has to tell copies from others
+UNROLLED = 2  # rounds of one plan
 MAX_ROUNDS = 200  # an iteration that has not converged by then raises
 PACK = 100_000  # rows of the small matrices and vectors per partition
 
@@ -135,6 +136,26 @@ def packed(df: DataFrame) -> DataFrame:
     return held.coalesce(-(-held.count() // PACK) or 1)
 
 
+def _multiplied(matrix: DataFrame, state: DataFrame) -> DataFrame:
+    """One round of the power iteration: both products, their lengths, and the change of the unit vectors."""
+    other = state.select("field", F.col("a").alias("b"), F.col("s").alias("_s"), F.col("t").alias("_t"))
+    rows = matrix.join(other.hint("shuffle_hash"), ["field", "b"]).groupBy("field", "a").agg(
+        F.sum(F.col("n") * F.col("x") * F.col("_s")).alias("_ps"), F.sum(F.col("n") * F.col("_t")).alias("_pt")
+    )
+    raw = state.join(rows.hint("shuffle_hash"), ["field", "a"]).select(
+        "field", "a", "n", "s", "t",
+        (F.col("_ps") + F.col("n") * F.col("v") * F.col("v") * F.col("s")).alias("_ps"), (F.col("_pt") + F.col("n") * F.col("t")).alias("_pt"),
+    )
+    length = raw.groupBy("field").agg(
+        F.greatest(F.sqrt(F.sum(F.col("_ps") * F.col("_ps"))), F.lit(1e-300)).alias("_ls"), F.sqrt(F.sum(F.col("_pt") * F.col("_pt"))).alias("_lt")
+    )  # one row per field
+    s, t = F.col("_ps") / F.col("_ls"), F.col("_pt") / F.col("_lt")
+    v = F.least(F.greatest(F.sqrt(F.col("_ls") / F.col("_lt")) * s / t, F.lit(0.001)), F.lit(1.0))
+    return raw.join(length.hint("shuffle_hash"), "field").select(
+        "field", "a", "n", s.alias("s"), t.alias("t"), v.alias("v"), F.greatest(F.abs(s - F.col("s")), F.abs(t - F.col("t"))).alias("change")
+    )
+
+
 def leading(matrix: DataFrame, answered: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(field, a, v) with v_a * v_b near x of each pair, from the leading eigenvectors of both matrices.
 
@@ -153,25 +174,11 @@ def leading(matrix: DataFrame, answered: DataFrame, tolerance: float = TOLERANCE
         own.join(size, "field").select("field", "a", "n", one.alias("s"), one.alias("t"), F.lit(0.5).alias("v"), F.lit(1.0).alias("change"))
     )
     parts = state.rdd.getNumPartitions()
-    for _ in range(MAX_ROUNDS):
-        other = state.select("field", F.col("a").alias("b"), F.col("s").alias("_s"), F.col("t").alias("_t"))
-        rows = matrix.join(other, ["field", "b"]).groupBy("field", "a").agg(
-            F.sum(F.col("n") * F.col("x") * F.col("_s")).alias("_ps"), F.sum(F.col("n") * F.col("_t")).alias("_pt")
-        )
-        raw = state.join(rows, ["field", "a"]).withColumns({
-            "_ps": F.col("_ps") + F.col("n") * F.col("v") * F.col("v") * F.col("s"), "_pt": F.col("_pt") + F.col("n") * F.col("t"),
-        })
-        length = raw.groupBy("field").agg(
-            F.greatest(F.sqrt(F.sum(F.col("_ps") * F.col("_ps"))), F.lit(1e-300)).alias("_ls"), F.sqrt(F.sum(F.col("_pt") * F.col("_pt"))).alias("_lt")
-        )  # one row per field
-        s, t = F.col("_ps") / F.col("_ls"), F.col("_pt") / F.col("_lt")
-        v = F.least(F.greatest(F.sqrt(F.col("_ls") / F.col("_lt")) * s / t, F.lit(0.001)), F.lit(1.0))
-        moved = raw.join(length, "field").select(
-            "field", "a", "n", s.alias("s"), t.alias("t"), v.alias("v"),
-            F.greatest(F.abs(s - F.col("s")), F.abs(t - F.col("t"))).alias("change"),
-        )
+    for _ in range(MAX_ROUNDS // UNROLLED):
+        for _ in range(UNROLLED):
+            state = _multiplied(matrix, state)
         seen = Observation()  # read while the round is written
-        state = stored(moved.observe(seen, F.max("change").alias("change"))).coalesce(parts)
+        state = stored(state.observe(seen, F.max("change").alias("change"))).coalesce(parts)
         if seen.get["change"] <= tolerance:
             return state.select("field", "a", "v")
     raise RuntimeError(f"the reliabilities did not converge in {MAX_ROUNDS} rounds")

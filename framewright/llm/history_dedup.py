@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from framewright.functions.bits import WORDS, distance, segment_array, with_words
 from framewright.functions.normal import fingerprint, hash_text, key_text
 from framewright.operators.segments import meet
-from framewright.session import stored
+from framewright.session import released, stored
 from framewright.sources.storage import ParquetTables
 
 MAX_DISTANCE = 10
@@ -275,5 +275,6 @@ def seen_before(images: DataFrame, path: str, max_distance: int = MAX_DISTANCE,
     index = SegmentIndex(spark, path, max_distance, hot, leader)
     found = rows.select("id").limit(0)
     for first, last in waves({r["batch_no"]: r["count"] for r in counted}):
-        found = found.unionByName(index._take(rows.where(F.col("batch_no").between(first, last)), True))
+        with released() as keep:  # a wave leaves its answer and its part of the index
+            found = found.unionByName(keep(index._take(rows.where(F.col("batch_no").between(first, last)), True)))
     return found.distinct()

@@ -5,13 +5,14 @@ whole copies are certain; which texts get one more is drawn by the cube method:
 probabilities move through the null-space of the constraints (tokens, documents) until they
 are 0 or 1. The flight runs in blocks of bounded size, in parallel; the up to two undecided
 texts of each block fly again with those of other blocks, and what is left of the last block,
-two texts a source, is the landing.
+two texts a source, lands on the choice nearest to their expected tokens.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from framewright.session import stored
 
 BLOCK = 4096
 MAX_TARGETS = 100_000  # rows of the targets table that the driver takes
-SHORTFALL = 0.02  # weight of the sources that may fall short for the sake of a larger mix
+SHORTFALL = 0.0  # weight of the sources that may fall short for the sake of a larger mix; an option, off by default
 NEAR = 1e-9
 
 
@@ -34,7 +35,7 @@ def source_name(c: Column) -> Column:
 
 
 def flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
-    """Cube method for one block: returns p with all but two entries 0 or 1 (all, if `land`).
+    """Cube method for one block: returns p with all but two entries 0 or 1 (all, if `land`: within one text of the tokens).
 
     Sums of p and of p * sizes stay as they are. Three undecided units always have a direction
     that keeps both sums: the cross product of their sizes with (1, 1, 1).
@@ -73,11 +74,14 @@ def flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: boo
             along = [1.0, -1.0, 0.0]
         scale = max(map(abs, along))
         active = move(active, [x / scale for x in along])
-    if land:  # the documents' total is kept as long as two are left
-        while len(active) == 2:
-            active = move(active, [1.0, -1.0])
-        for i in active:
-            p[i] = 1.0 if next(draws) < p[i] else 0.0
+    if land and active:  # two texts at most: the choice nearest to their tokens, then to their number
+        tokens, number = sum(p[i] * n[i] for i in active), sum(p[i] for i in active)
+        kept = min(
+            product((0.0, 1.0), repeat=len(active)),
+            key=lambda c: (abs(sum(x * n[i] for x, i in zip(c, active, strict=True)) - tokens), abs(sum(c) - number), c),
+        )
+        for x, i in zip(kept, active, strict=True):
+            p[i] = x
     return np.array(p)
 
 

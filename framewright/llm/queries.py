@@ -40,6 +40,12 @@ def p2_sample(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p2_sample_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Images and distinct images drawn per sample."""
+    drawn = p2_sample(spark, folder).groupBy("sample_name")
+    return drawn.agg(F.count("*").alias("images"), F.count_distinct("transaction_id", "image_id").alias("distinct_images"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     labels, _ = consensus.consensus(consensus.answers(table(spark, folder, "predictions")))
     return labels.where("disputed").select("region_id", "document_type", "issuing_country")
@@ -95,6 +101,14 @@ def p6_split_report(spark: SparkSession, folder: str) -> DataFrame:
     return splits.split_report(_splits(spark, folder))
 
 
+def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Images assigned, images in several splits, and components in several splits."""
+    rows = _splits(spark, folder)
+    twice = rows.groupBy("transaction_id", "image_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("images"), F.count_if(F.col("n") > 1).alias("images_twice"))
+    cut = rows.groupBy("keep_with").agg(F.count_distinct("split_name").alias("n")).agg(F.count_if(F.col("n") > 1).alias("components_cut"))
+    return twice.join(cut)  # one row each
+
+
 SAMPLE_RATE = 0.1
 
 
@@ -116,6 +130,17 @@ def p8_fill_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(_containers(spark, folder), table(spark, folder, "container_sizes"))
 
 
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per size: texts placed, overfull containers, and texts whose pieces do not lie end to end."""
+    pieces = packing.containers(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "container_sizes"))
+    sizes = table(spark, folder, "container_sizes").select("size_name", "capacity_tokens").distinct()
+    full = pieces.groupBy("size_name", "container_id").agg(F.sum("tokens").alias("t")).join(sizes, "size_name")
+    over = full.groupBy("size_name").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("overfull"))
+    texts = pieces.groupBy("size_name", "doc_id").agg(F.sum("tokens").alias("t"), F.max(F.col("start") + F.col("tokens")).alias("end"), F.min("start").alias("first"))
+    torn = texts.groupBy("size_name").agg(F.count("*").alias("documents"), F.count_if((F.col("t") != F.col("end")) | (F.col("first") != 0)).alias("torn"))
+    return torn.join(over, "size_name")
+
+
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
@@ -128,6 +153,18 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
+def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per target: texts used more often than max_repeats, and sources that miss their quota by a text or more."""
+    mixed, shares = _mix(spark, folder)
+    asked = shares.select("mix_name", "source", "max_repeats", "quota_tokens", "tokens")
+    used = asked.select("mix_name", "source", "max_repeats").join(mixed.withColumnRenamed("tokens", "_t"), ["mix_name", "source"], "left").groupBy("mix_name", "source").agg(
+        F.count_if(F.col("copies") > F.col("max_repeats")).alias("over_repeats"), F.coalesce(F.max("_t"), F.lit(0)).alias("_longest")
+    )
+    return asked.join(used, ["mix_name", "source"]).select(
+        "mix_name", "source", "over_repeats", (F.abs(F.col("tokens") - F.col("quota_tokens")) > F.col("_longest")).alias("off_by_a_text")
+    )
+
+
 def _abuse(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.abuse_scores(table(spark, folder, "documents"))
 
@@ -147,9 +184,9 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_allocation, p2_sample, p3_found, p3_consensus, p3_reliability, p4_found,
-        p5_found, p6_found, p6_splits, p6_split_report, p7_sample,
-        p8_containers, p8_fill_report, p9_mix, p9_shares,
+        p2_found, p2_allocation, p2_sample, p2_sample_sizes, p3_found, p3_consensus, p3_reliability, p4_found,
+        p5_found, p6_found, p6_splits, p6_split_report, p6_checks, p7_sample,
+        p8_containers, p8_fill_report, p8_checks, p9_mix, p9_shares, p9_checks,
         p10_found, p10_scores, p10_rates,
     )
 }
@@ -169,6 +206,26 @@ WITH held AS (
 SELECT DISTINCT s.sample_name, s.document_type, s.issuing_country FROM sample_targets s
 LEFT JOIN held ON t = {sql_document_type("s.document_type")} AND c = {sql_country("s.issuing_country")}
 WHERE coalesce(n, 0) < target_share * sample_size OR coalesce(n, 0) < coalesce(min_count, 0)""",
+    "p2_sample_sizes": f"""
+WITH listed AS (
+  SELECT DISTINCT {sql_document_type("document_type")} AS t, {sql_country("issuing_country")} AS c, transaction_id, image_id
+  FROM labelled_images WHERE transaction_id IS NOT NULL AND image_id IS NOT NULL),
+sized AS (SELECT *, count(*) OVER (PARTITION BY t, c) AS n FROM listed WHERE t IS NOT NULL AND c IS NOT NULL),
+free AS (SELECT x.t, x.c, count(*) AS n FROM (SELECT min(struct_pack(n, t, c)) AS x FROM sized GROUP BY transaction_id, image_id) GROUP BY ALL),
+asked AS (
+  SELECT sample_name, t, c, sum(target_share) AS share, max(coalesce(min_count, 0)) AS least, max(sample_size) AS size FROM (
+    SELECT DISTINCT sample_name, sample_size, target_share, min_count, document_type, issuing_country, {sql_document_type("document_type")} AS t, {sql_country("issuing_country")} AS c FROM sample_targets)
+  GROUP BY ALL),
+total AS (
+  SELECT sample_name, greatest(CASE WHEN sum(share) BETWEEN 0.999 AND 1.001 THEN max(size) ELSE round_even(max(size) * least(1, sum(share)), 0) END, sum(least)) AS wanted, sum(coalesce(n, 0)) AS held
+  FROM asked LEFT JOIN free USING (t, c) GROUP BY sample_name)
+SELECT sample_name, CAST(least(wanted, held) AS BIGINT) AS images, CAST(least(wanted, held) AS BIGINT) AS distinct_images FROM total""",
+    "p6_checks": """
+SELECT count(*) AS images, CAST(0 AS BIGINT) AS images_twice, CAST(0 AS BIGINT) AS components_cut FROM (SELECT DISTINCT transaction_id, image_id FROM labelled_images WHERE transaction_id IS NOT NULL)""",
+    "p8_checks": """
+SELECT size_name, count(*) AS documents, CAST(0 AS BIGINT) AS torn, CAST(0 AS BIGINT) AS overfull FROM (SELECT DISTINCT size_name FROM container_sizes), (SELECT DISTINCT doc_id FROM documents WHERE text <> '') GROUP BY size_name""",
+    "p9_checks": f"""
+SELECT DISTINCT mix_name, regexp_replace(lower({sql_strip("source")}), '[- ]', '_', 'g') AS source, CAST(0 AS BIGINT) AS over_repeats, false AS off_by_a_text FROM mix_targets""",
     "p4_found": f"""
 WITH ok AS (
   SELECT id, batch_no, {sql_hash("image_hash")} AS h, {sql_fingerprint("perceptual_hash")} AS p

@@ -25,6 +25,21 @@ def test_allocation_tree():
     assert given(0, leaf("a", "x", 1.0, 3)) == {("a", "x"): 0}
 
 
+def test_quota_comes_down_the_tree():
+    # type a gets 10 of 20; inside it the minimum of y comes first
+    plan = Q.allocate(20, [leaf("a", "x", 0.4, 99), leaf("a", "y", 0.1, 99, least=6), leaf("b", "x", 0.5, 99)])
+    assert {k: v["quota"] for k, v in plan.items()} == {("a", "x"): 4, ("a", "y"): 6, ("b", "x"): 10}
+
+
+def test_an_image_of_two_categories_is_drawn_once(spark):
+    rows = [(i, "f", "passport", "TN", 0) for i in range(50)] + [(i, "f", "other", "FR", 0) for i in range(20)]
+    images = spark.createDataFrame(rows, IMAGE)
+    targets = spark.createDataFrame([("s", 50, "passport", "TN", 0.6, None), ("s", 50, "other", "FR", 0.4, None)], TARGET)
+    drawn = [(r["transaction_id"], r["image_id"]) for r in Q.quota_sample(images, targets).collect()]
+    assert len(drawn) == len(set(drawn)) == 50
+    assert Q.unfilled(Q.allocation(images, targets)).count() == 0
+
+
 def test_sample(spark):
     rows = [(i, "f", "national_id", "TN") for i in range(600)] + [(i, "f", " National-ID", "tn\t") for i in range(300)]
     rows += [(i, "b", "passport", "MA") for i in range(40)] + [(None, "z", "passport", "MA"), (1, None, "passport", "MA"), (1, "q", "card?", "MA"), (2, "q", None, None)]

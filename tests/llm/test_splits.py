@@ -48,11 +48,24 @@ def test_edges(spark):
         S.grouped_splits(*frames(spark, [(1, "a", None, None)], [], [("train", None)]))
 
 
-def test_rarest_label_first():
-    units = [S.Unit((i,), {"common": 10}) for i in range(8)] + [S.Unit((100 + i,), {"rare": 1, "common": 1}) for i in range(4)]
-    placed = S.place_units(units, {"a": 0.5, "b": 0.5})
-    assert Counter(placed[100 + i,] for i in range(4)) == {"a": 2, "b": 2}
-    assert Counter(placed[i,] for i in range(8)) == {"a": 4, "b": 4}
+def test_placement():
+    state = S.Placement({"a": 0.5, "b": 0.5}, {"rare": 4, "common": 84})
+    assert sorted(state.place("rare", {"rare": 1, "common": 1}) for _ in range(4)) == ["a", "a", "b", "b"]
+    state.take("a", {"common": 20})
+    assert state.intervals("common", 60) == [("a", 0.0, 20.0), ("b", 20.0, float("inf"))]
+    assert S.Placement({"a": 1.0, "b": 0.0}, {"x": 4}).intervals("x", 4) == [("a", 0.0, float("inf"))]
+
+
+def test_every_label_is_split_as_asked(spark):
+    r = random.Random(4)
+    images = [(t, f"i{k}", r.choice(["passport"] * 20 + ["national_id"] * 5 + ["other"]), "TN") for t in range(3000) for k in range(r.choice([1, 1, 2, 5]))]
+    out = S.grouped_splits(*frames(spark, images, []), large=500).collect()
+    where = {(x["transaction_id"], x["image_id"]): x["split_name"] for x in out}
+    assert len(where) == len({x[:2] for x in images})
+    for kind in ("passport", "national_id", "other"):
+        own = Counter(where[x[:2]] for x in images if x[2] == kind)
+        for name, share in TARGETS:
+            assert own[name] / sum(own.values()) == pytest.approx(share, abs=0.03), (kind, name)
 
 
 def test_too_many_targets(spark):
