@@ -3,26 +3,27 @@
 from __future__ import annotations
 
 import argparse
-from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright import pipeline, plugins
 from framewright.operators import duplicates as D
 from framewright.operators.evaluation import SelectionRule
-from framewright.operators.ranks import bucketed_row_number, hash_bucket
+from framewright.operators.ranks import bucketed_row_number
 from framewright.operators.routing import RoutingConfig
 from framewright.session import build_session, stored
 from framewright.sources import reports
-from framewright.sources.images import LocalFolderSource, NfsZipSource, sample_listing, with_fingerprint
+from framewright.sources.images import LocalFolderSource, NfsZipSource, sample_listing, shuffled_order, with_fingerprint
 from framewright.sources.labels import FOLDER_LABELS, label_rows, load_yaml, read_labels
 from framewright.sources.pictures import write_previews
 from framewright.sources.storage import Storage, tables
 
 
+SHARE = "/mnt/nfs"  # fixed value: where the share is mounted unless --root says otherwise
+
+
 def build_ground_truth(spark: SparkSession, root: str, out: str, per_folder: int | None, seed: int) -> Path:
     """The label file of the known folders that exist; sampled names come from one generator."""
     present = [f for f in FOLDER_LABELS if Path(root, f).is_dir()]
@@ -34,9 +35,12 @@ def build_ground_truth(spark: SparkSession, root: str, out: str, per_folder: int
         listing = {f: [r["reference"] for r in names.where(F.col("folder") == f).select("reference").collect()] for f in present}
         wanted = [(n,) for own in sample_listing(listing, per_folder, seed).values() for n in own]
         keys = keys.join(spark.createDataFrame(wanted, "reference string"), "reference", "left_semi")
-    rows = label_rows(keys)
-    local = F.regexp_replace("image_path", "^file:", "")
-    return reports.write_csv(Path(out), *reports.rows_of(rows.withColumn("image_path", local), ["image_path"]))
+    rows = label_rows(keys).withColumn("image_path", F.regexp_replace("image_path", "^file:", ""))
+    # folder by folder as configured, inside it by transaction, side and path
+    places = spark.createDataFrame(list(enumerate(present)), "_f int, _folder string")
+    placed = rows.withColumn("_folder", F.regexp_extract("image_path", "([^/]+)/[^/]*$", 1)).join(places, "_folder")
+    ordered = placed.orderBy("_f", "transaction_id", "image_id", "image_path").select(*rows.columns)
+    return reports.Report(Path(out).parent).table(Path(out).name, ordered, plain=True)
 
 
 def _source(spark: SparkSession, spec: dict):
@@ -59,13 +63,15 @@ def run_evaluate(spark: SparkSession, config: str) -> Path:
         raise ValueError("configuration names must differ")
     built = {s["name"]: (plugins.build_detector(s.get("detector")), plugins.build_classifiers(s.get("classifiers"))) for s in specs}
     labels = read_labels(spark, values["ground_truth"])
-    out = reports.new_run_dir(Path(values.get("output_dir", "data/runs")), values.get("experiment_name", "run"), Path(config))
+    title = values.get("experiment_name", Path(config).stem)
+    report = reports.Report.reserved(Path(values.get("output_dir", "data/runs")), title, Path(config))
     keys = labels.select("transaction_id", "image_id", F.col("image_path").alias("reference"))
     records = stored(_PathSource(spark).fetch(keys, keep_content=True))
     threshold = RoutingConfig(**(values.get("routing") or {})).confidence_threshold
     fact, calls = pipeline.evaluation_fact(labels, records, built, int(values.get("repeats", 1)), threshold)
-    pipeline.evaluate(fact, calls, rule, out)
-    return out
+    about = {"Experiment": title, "Ground truth": str(values["ground_truth"]), "Routing": RoutingConfig(threshold).describe()}
+    pipeline.evaluate(fact, calls, rule, report, about)
+    return report.folder
 
 
 class _PathSource(LocalFolderSource):
@@ -74,22 +80,6 @@ class _PathSource(LocalFolderSource):
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
-    def list_keys(self):
-        raise NotImplementedError("keys are given")
-
-    def _files(self, keys):
-        names = keys.select(F.col("reference").alias("path")).where("path IS NOT NULL").distinct()
-        spread = names.repartition(self.spark.sparkContext.defaultParallelism, "path")
-        return spread.mapInPandas(_contents, "path string, content binary")
-
-
-def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes of the named files that are there, one file in memory at a time."""
-    for pdf in batches:
-        for path in pdf["path"]:
-            if Path(path).is_file():
-                yield pd.DataFrame({"path": [path], "content": [Path(path).read_bytes()]})
-
 
 def run_classify(spark: SparkSession, config: str, run: str | None) -> dict:
     values = load_yaml(config)
@@ -103,21 +93,37 @@ def run_classify(spark: SparkSession, config: str, run: str | None) -> dict:
     )
 
 
-def _sampled(spark: SparkSession, root: str, folders: list[str], per_folder: int, unique: bool, seed: int):
-    """Records of up to `per_folder` images a folder in seeded order, copies left out if `unique`."""
-    records = with_fingerprint(NfsZipSource(spark, root, folders).fetch(keep_content=True))
-    records = stored(records.withColumn("folder", F.regexp_extract("reference", "([^/]+)/[^/]*$", 1)).where("fetch_status = 'ok'"))
-    files = records.withColumn("sha", F.col("image_hash")).withColumn("_o", F.xxhash64(F.lit(seed), "reference"))
-    if unique:
-        taken = D.greedy_distinct_sample(files, per_folder, "_o").select("folder", "sha")
-        first = files.groupBy("folder", "sha").agg(F.min_by("reference", "_o").alias("reference")).join(taken, ["folder", "sha"])
-    else:
-        ranked = bucketed_row_number(files, ["folder"], ["_o", "reference"], hash_bucket(F.col("_o")), "_k")
-        first = ranked.where(F.col("_k") < per_folder)
-    return stored(records.join(first.select("reference"), "reference", "left_semi"))
-
-
-def run_sweep(spark: SparkSession, config: str, per_folder: int | None) -> Path:
+def _sampled(spark: SparkSession, root: str, folders: list[str], per_folder: int, unique: bool, seed: int) -> DataFrame:
+    """Records of up to `per_folder` readable images a folder in seeded order, copies left out if `unique`.
+
+    The order is a seeded shuffle of a folder's names, which the driver lists. Files are then read slice by slice of that
+    order, and only for folders that are not full.
+    """
+    source = NfsZipSource(spark, root, folders)
+    keys = stored(source.list_keys().withColumn("folder", F.regexp_extract("reference", "([^/]+)/[^/]*$", 1)))
+    named = [(name, i) for f in folders for i, name in enumerate(shuffled_order([r[0] for r in keys.where(F.col("folder") == f).select("reference").collect()], seed))]
+    placed = stored(keys.join(spark.createDataFrame(named, "reference string, _o long"), "reference"))
+    upto, size, left = 0, 2 * per_folder + 8, list(folders)
+    seen = None
+    while True:
+        part = placed.where(F.col("folder").isin(left) & (F.col("_o") >= upto) & (F.col("_o") < upto + size))
+        records = with_fingerprint(source.fetch(part.select("transaction_id", "image_id", "reference"), keep_content=True))
+        read = stored(records.where("fetch_status = 'ok'").join(part.select("reference", "folder", "_o"), "reference").withColumn("sha", F.col("image_hash")))
+        seen = read if seen is None else seen.unionByName(read)
+        if unique:
+            taken = D.greedy_distinct_sample(seen, per_folder, "_o").select("folder", "_o")
+        else:
+            taken = bucketed_row_number(seen, ["folder"], ["_o"], F.lit(0), "_k").where(F.col("_k") < per_folder).select("folder", "_o")
+        taken = stored(taken)
+        counts = {r["folder"]: r["count"] for r in taken.groupBy("folder").count().collect()}
+        upto, size = upto + size, 2 * size
+        more = {r["folder"] for r in placed.where(F.col("_o") >= upto).select("folder").distinct().collect()}
+        left = [f for f in left if counts.get(f, 0) < per_folder and f in more]
+        if not left:
+            return stored(seen.join(taken, ["folder", "_o"], "left_semi"))
+
+
+def run_sweep(spark: SparkSession, config: str, root: str | None, folders: list[str] | None, per_folder: int | None) -> Path:
     own = load_yaml(config)["sweep"]
     thresholds = sorted(own["thresholds"])
     shared = own.get("detector") or {}
@@ -125,39 +131,22 @@ def run_sweep(spark: SparkSession, config: str, per_folder: int | None) -> Path:
         plugins.build_detector(shared | {"name": name, "prompts": prompts, "confidence": thresholds[0]})
         for name, prompts in own["prompt_sets"].items()
     ]
-    records = _sampled(spark, own["root"], own["folders"], per_folder or own.get("per_folder", 20), own.get("unique_only", True), own.get("seed", 42))
-    folders = spark.createDataFrame([(f,) for f in own["folders"]], "folder string")
-    counts = pipeline.sweep_detectors(records, detectors, thresholds, folders)
-    out = reports.new_run_dir(Path(own.get("output_dir", "data/sweeps")), "sweep")
-    columns, rows = reports.rows_of(counts, ["detector_name", "folder", "threshold"])
-    rows = [(*r, round(r[-2] / r[-3], 3) if r[-3] else None) for r in rows]
-    reports.write_csv(out / "sweep.csv", [*columns, "detection_rate"], rows)
-    (out / "sweep.md").write_text(reports.markdown([*columns, "detection_rate"], rows), encoding="utf-8")
-    return out
+    names = folders or own["folders"]
+    records = _sampled(spark, root or own["root"], names, per_folder or own.get("per_folder", 20), own.get("unique_only", True), own.get("seed", 42))
+    report = reports.Report.reserved(Path(own.get("output_dir", "data/sweeps")), "sweep")
+    return pipeline.sweep_detectors(records, detectors, thresholds, names, report).folder
 
 
 def run_preview(spark: SparkSession, config: str, root: str | None, folders: list[str] | None, per_folder: int | None) -> Path:
     own = load_yaml(config)["preview"]
     names = folders or own["folders"]
     records = _sampled(spark, root or own["root"], names, per_folder or own.get("per_folder", 5), own.get("unique_only", True), own.get("seed", 42))
-    found = stored(plugins.detect(records, plugins.build_detector(own.get("detector"))))
-    boxes = found.groupBy("transaction_id", "image_id").agg(
-        F.count("*").alias("regions"),
-        F.sort_array(F.collect_list(F.struct("detector_confidence", "x0", "y0", "x1", "y1")), asc=False).alias("b"),
-    )
-    rows = records.join(boxes, ["transaction_id", "image_id"], "left").select(
-        "folder", "transaction_id", "image_id", "image_hash", F.col("width").alias("image_width"), F.col("height").alias("image_height"),
-        F.coalesce("regions", F.lit(0)).alias("regions"), "b",
-    )
-    columns, data = reports.rows_of(rows, ["folder", "transaction_id", "image_id"])
-    lines = [
-        (*r[:-1], " ".join(f"{x[0]:.3f}" for x in r[-1] or []), " ".join("({},{},{},{})".format(*x[1:]) for x in r[-1] or []))
-        for r in data
-    ]
-    out = Path(own.get("output_dir", "data/preview"))
+    images, found = pipeline.detected_images(records, plugins.build_detector(own.get("detector")))
+    report = reports.Report(Path(own.get("output_dir", "data/preview")))
     if own.get("images", True):
-        write_previews(records, found, str(out))
-    return reports.write_csv(out / "summary.csv", [*columns[:-1], "confidences", "bboxes"], lines)
+        write_previews(records, found, str(report.folder))
+    images = images.drop("detector_name").orderBy("folder", "transaction_id", "image_id")
+    return report.rows("summary.csv", images.columns, map(pipeline.spelt_image, images.toLocalIterator()))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -176,13 +165,13 @@ def parser() -> argparse.ArgumentParser:
                 sub.add_argument(flag, type=kind)
         return sub
 
-    command("build-ground-truth", root=str, out=str, per_folder=int, seed=int).set_defaults(out="data/ground_truth.csv", seed=42)
+    command("build-ground-truth", root=str, out=str, per_folder=int, seed=int).set_defaults(root=SHARE, out="data/ground_truth.csv", seed=42)
     command("evaluate", config=str)
     command("classify", config=str, run_id=str)
     command("preview-detector", config=str, root=str, folders=list, per_folder=int)
-    command("sweep-detector", config=str, per_folder=int)
+    command("sweep-detector", config=str, root=str, folders=list, per_folder=int)
     command("find-duplicates", root=str, folders=list, out=str, max_distance=int, review_distance=int, review_images=bool).set_defaults(
-        out="data/duplicates", max_distance=D.NEAR, review_distance=40
+        root=SHARE, folders=list(FOLDER_LABELS), out="data/duplicates", max_distance=D.NEAR, review_distance=40
     )
     return top
 
@@ -199,7 +188,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None):
     elif a.command == "preview-detector":
         done = run_preview(spark, a.config, a.root, a.folders, a.per_folder)
     elif a.command == "sweep-detector":
-        done = run_sweep(spark, a.config, a.per_folder)
+        done = run_sweep(spark, a.config, a.root, a.folders, a.per_folder)
     else:
         done = pipeline.find_duplicates(spark, a.root, a.folders, Path(a.out), a.max_distance, a.review_distance, a.review_images)
     print(done)

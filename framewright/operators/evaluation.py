@@ -13,6 +13,19 @@ HIGHER_IS_BETTER = (
     "type_accuracy", "country_accuracy", "side_accuracy", "country_accuracy_macro",
     "negative_rejection_rate", "coverage", "accepted_accuracy",
 )
+MEANINGS = {
+    "type_accuracy": "documents whose type is right",
+    "country_accuracy": "documents whose country is right",
+    "country_accuracy_macro": "mean of the countries' shares of documents with the right country, each country counting the same",
+    "side_accuracy": "documents whose side is right",
+    "negative_rejection_rate": "images without a document for which none was found",
+    "coverage": "documents that need no review",
+    "accepted_accuracy": "of the documents that need no review, those with all three labels right",
+    "unknown_rate": "documents whose country is given as unknown",
+    "review_rate": "images that need a review",
+    "parse_error_rate": "classifier calls whose answer could not be read",
+    "model_error_rate": "classifier calls that failed",
+}
 LOWER_IS_BETTER = ("unknown_rate", "review_rate", "parse_error_rate", "model_error_rate", "latency_mean_ms", "latency_std_ms")
 
 
@@ -84,6 +97,16 @@ def per_country(fact: DataFrame) -> DataFrame:
     )
 
 
+def country_means(fact: DataFrame) -> DataFrame:
+    """n and mean accuracies over the repeats per (config, true country); n is that of the first repeat (AGG-19)."""
+    each = per_country(fact)
+    first = each.groupBy("config", "country").agg(F.min_by("n", "repeat").alias("n"))
+    names = ["type_accuracy", "country_accuracy", "side_accuracy"]
+    renamed = each.select("config", "repeat", "country", *names).withColumn("config", F.struct("config", "country")).drop("country")
+    means = mean_over_repeats(renamed).select("config.config", "config.country", *names)
+    return first.join(means, ["config", "country"])
+
+
 def macro_accuracy(fact: DataFrame) -> DataFrame:
     """Mean of the countries' accuracies per (config, repeat), in the order of countries."""
     by = per_country(fact).groupBy("config", "repeat").agg(
@@ -188,6 +211,21 @@ def select_winner(summaries: DataFrame, rule: SelectionRule = SelectionRule(), o
     return judged.withColumn("winner", F.col("eligible") & (F.row_number().over(ranked) == 1))
 
 
+def selection_notes(judged: list[dict], rule: SelectionRule) -> dict[str, str]:
+    """Per config: WINNER, or what its gate metrics fall short of, or `passes` (one row per config, as select_winner gives)."""
+    out = {}
+    for row in judged:
+        found = []
+        for metric, bound, below in (
+            ("negative_rejection_rate", rule.min_negative_rejection_rate, True), ("parse_error_rate", rule.max_parse_error_rate, False),
+        ):
+            x = row[metric]
+            if x is not None and (x < bound if below else x > bound):
+                found.append(f"{metric} {x:.3f} {'<' if below else '>'} {bound}")
+        out[row["config"]] = "WINNER" if row["winner"] else "; ".join(found) or "passes"
+    return out
+
+
 def dataset_info(fact: DataFrame) -> DataFrame:
     """One row of the last config's last repeat: images, documents, negatives, fetch_failed.
 

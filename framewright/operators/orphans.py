@@ -1,14 +1,16 @@
 """References to records that do not exist (problem 1).
 
-Two views of one method, signed counts per key:
+One ledger of signed deltas per key and instant serves all views. A reference is +1 when it is written and -1
+when its own row is deleted; a record is +1 when it begins to live and -1 when it is deleted.
 
-* `apply_deltas` keeps a table of reference and existence counts from change deltas; the keys
+* `apply_deltas` keeps the counts of every key from deltas as they come in; the keys
   with positive references and no existence are the current orphans.
-* `orphans_in_time` replays the same deltas along time and tells for each reference whether
-  any record of its key was alive when the reference was written.
+* `running_counts` gives the counts of every key at every instant of the ledger; `orphans_in_time` tells from them
+  for each reference whether any record of its key was alive when the reference was written.
 
-Keys may be hot: deltas are summed per key and time before they are shuffled, and the replay is
-cut into time buckets per key, so that one key's history is spread over many tasks.
+Keys may be hot: deltas are summed per key and instant before anything else, and running sums are carried
+from days to seconds to instants, so that no task holds more of a key than its days, the seconds of one day, or the
+instants (microseconds) of one second. Rows meet the few orphan instants by key and instant.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATE = ("relation", "key", "references", "existing")
+COUNTS = ("references", "existing", "births", "written")
 
 
 def apply_deltas(state: DataFrame | None, deltas: DataFrame) -> DataFrame:
@@ -44,22 +47,23 @@ def current_orphans(state: DataFrame) -> DataFrame:
 
 
 def references(
-    df: DataFrame, relation: str, key: Column, table: str, row_key: Column, at: Column
+    df: DataFrame, relation: str, key: Column, table: str, row_key: Column, at: Column, until: Column | None = None
 ) -> DataFrame:
-    """Reference rows in the form that `orphans_in_time` takes."""
+    """Reference rows in the form that `ledger` takes; until: when the referring row was deleted."""
     return df.select(
         F.lit(relation).alias("relation"),
         key.cast("string").alias("key"),
         F.lit(table).alias("table_name"),
         row_key.cast("string").alias("row_key"),
         at.cast("timestamp").alias("at"),
+        (F.lit(None) if until is None else until).cast("timestamp").alias("until"),
     )
 
 
 def lives(
     df: DataFrame, relation: str, key: Column, born: Column, died: Column
 ) -> DataFrame:
-    """Lives of records in the form that `orphans_in_time` takes."""
+    """Lives of records in the form that `ledger` takes."""
     return df.select(
         F.lit(relation).alias("relation"),
         key.cast("string").alias("key"),
@@ -68,98 +72,96 @@ def lives(
     )
 
 
-def orphans_in_time(
-    refs: DataFrame, records: DataFrame, bucket: str = "hour"
-) -> DataFrame:
+def _last() -> Column:
+    """A time after all changes."""
+    return F.lit("9999-12-31 00:00:00").cast("timestamp")
+
+
+def distinct_references(refs: DataFrame) -> DataFrame:
+    """The references with a key, identical rows once; said_at is `at` as it was given."""
+    known = refs.where(F.col("key").isNotNull()).select("relation", "key", "table_name", "row_key", "at", "until").distinct()
+    return known.withColumn("said_at", F.col("at")).withColumn("at", F.coalesce("at", _last()))
+
+
+def ledger(refs: DataFrame, records: DataFrame) -> DataFrame:
+    """(relation, key, at, references, existing, births, written): the sums of all deltas of a key at an instant.
+
+    refs: as of `distinct_references`. births counts the records that begin, written the references.
+    """
+    zero, one, minus = (F.lit(x).cast("long") for x in (0, 1, -1))
+    records = records.where(F.col("key").isNotNull()).distinct()
+    never = F.col("born").isNull() | (F.col("died") <= F.col("born"))
+    key = ("relation", "key")
+    said = refs.select(*key, "at", one.alias("references"), zero.alias("existing"), zero.alias("births"), one.alias("written"))
+    unsaid = refs.where("until IS NOT NULL").select(
+        *key, F.greatest("at", "until").alias("at"), minus.alias("references"), zero.alias("existing"), zero.alias("births"), zero.alias("written")
+    )
+    born = records.select(
+        *key, F.coalesce("born", _last() + F.expr("INTERVAL 1 DAY")).alias("at"), zero.alias("references"),
+        F.when(never, 0).otherwise(1).cast("long").alias("existing"), one.alias("births"), zero.alias("written"),
+    )
+    died = records.where(F.col("died").isNotNull() & ~never).select(
+        *key, F.col("died").alias("at"), zero.alias("references"), minus.alias("existing"), zero.alias("births"), zero.alias("written")
+    )
+    both = said.unionByName(unsaid).unionByName(born).unionByName(died)
+    return both.groupBy(*key, "at").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def running_counts(changes: DataFrame) -> DataFrame:
+    """The ledger with running sums: relation, key, at, COUNTS up to and with that instant (but `written` of the instant
+    itself), and ever: the births of the key at all times.
+
+    Sums are carried downwards as a first row of each day and of each second.
+    """
+    key = ["relation", "key"]
+    sums = [F.sum(c).alias(c) for c in COUNTS]
+    timed = changes.withColumns({"_day": F.date_trunc("day", "at"), "_second": F.date_trunc("second", "at")})
+    seconds = timed.groupBy(*key, "_day", "_second").agg(*sums)
+    days = seconds.groupBy(*key, "_day").agg(*sums)
+
+    def before(order: str, *group: str):
+        return Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    zero = F.lit(0).cast("long")
+    day = before("_day", *key)
+    carried = days.select(
+        *key, "_day", F.lit(None).cast("timestamp").alias("_second"),
+        *[F.coalesce(F.sum(c).over(day), zero).alias(c) for c in COUNTS],
+        F.sum("births").over(Window.partitionBy(*key)).alias("ever"),
+    )
+    second = before("_second", *key, "_day")  # the carried row has no second and comes first
+    carried = carried.unionByName(seconds.withColumn("ever", zero)).select(
+        *key, "_second", F.lit(None).cast("timestamp").alias("at"),
+        *[F.sum(c).over(second).alias(c) for c in (*COUNTS, "ever")],
+    ).where("_second IS NOT NULL")
+    instant = Window.partitionBy(*key, "_second").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = carried.unionByName(timed.drop("_day").withColumn("ever", zero))
+    return rows.select(
+        *key, "at", *[F.sum(c).over(instant).alias(c) for c in (*COUNTS[:3], "ever")], "written"
+    ).where("at IS NOT NULL")
+
+
+def orphans_in_time(refs: DataFrame, records: DataFrame) -> DataFrame:
     """(table_name, row_key, at, key, state) of the references without a living record.
 
-    refs: relation, key, table_name, row_key, at. records: relation, key, born, died.
+    refs: relation, key, table_name, row_key, at, until. records: relation, key, born, died.
     A record lives from `born` up to, not including, `died` (NULL: for ever). state is `missing`
     (no record of the key at all), `late` (none was born by then) or `deleted`.
 
     Defined cases: references with a NULL key are no orphans; a NULL `at` is judged after all
     changes; a record with a NULL `born` never lives, yet its key is not `missing`; a record
     that died before it was born only counts as born. Repeated rows give one result row. Empty
-    tables give an empty result, or only `missing` rows.
+    tables give an empty result, or only `missing` rows. Whether the referring row was deleted later does not matter.
     """
-    last = F.lit("9999-12-31 00:00:00").cast("timestamp")
-    refs = refs.where(F.col("key").isNotNull()).select(
-        "relation", "key", "table_name", "row_key", F.col("at").alias("said_at"),
-        F.coalesce("at", last).alias("at"),
-    )
-    records = records.where(F.col("key").isNotNull())
-    never = F.col("born").isNull() | (F.col("died") <= F.col("born"))
-    births = records.select(
-        "relation", "key", F.coalesce("born", last + F.expr("INTERVAL 1 DAY")).alias("at"),
-        F.when(never, 0).otherwise(1).alias("alive"), F.lit(1).alias("births"),
-    )
-    deaths = records.where(F.col("died").isNotNull() & ~never).select(
-        "relation", "key", F.col("died").alias("at"),
-        F.lit(-1).alias("alive"), F.lit(0).alias("births"),
+    said = distinct_references(refs)
+    counts = running_counts(ledger(said, records))
+    orphaned = counts.where("written > 0 AND existing <= 0").select(
+        "relation", "key", "at",
+        F.when(F.col("ever") == 0, "missing").when(F.col("births") == 0, "late").otherwise("deleted").alias("state"),
     )
-    changes = (
-        births.unionByName(deaths)
-        .groupBy("relation", "key", "at")
-        .agg(F.sum("alive").alias("alive"), F.sum("births").alias("births"))
-        .withColumn("slot", F.date_trunc(bucket, "at"))
-    )
-    zero = F.lit(0).cast("long")
-    asked = refs.withColumn("slot", F.date_trunc(bucket, "at"))
-    slots = (
-        changes.select("relation", "key", "slot", "alive", "births")
-        .unionByName(
-            asked.select("relation", "key", "slot", zero.alias("alive"), zero.alias("births"))
-        )
-        .groupBy("relation", "key", "slot")
-        .agg(F.sum("alive").alias("alive"), F.sum("births").alias("births"))
-    )
-    history = Window.partitionBy("relation", "key").orderBy("slot")
-    earlier = history.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("relation", "key")
-    text = F.lit(None).cast("string")
-    carried = slots.select(
-        "relation", "key", "slot", F.lit(0).alias("kind"), F.col("slot").alias("at"),
-        F.coalesce(F.sum("alive").over(earlier), zero).alias("alive"),
-        F.coalesce(F.sum("births").over(earlier), zero).alias("births"),
-        F.sum("births").over(whole).alias("ever"),
-        text.alias("table_name"), text.alias("row_key"),
-        F.lit(None).cast("timestamp").alias("said_at"),
-    )
-    changed = changes.select(
-        "relation", "key", "slot", F.lit(1).alias("kind"), "at", "alive", "births",
-        zero.alias("ever"), text.alias("table_name"), text.alias("row_key"),
-        F.lit(None).cast("timestamp").alias("said_at"),
-    )
-    referred = asked.select(
-        "relation", "key", "slot", F.lit(2).alias("kind"), "at", zero.alias("alive"),
-        zero.alias("births"), zero.alias("ever"), "table_name", "row_key", "said_at",
-    )
-    running = (
-        Window.partitionBy("relation", "key", "slot")
-        .orderBy("at", "kind")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    replay = carried.unionByName(changed).unionByName(referred)
-    seen = replay.select(
-        "kind", "table_name", "row_key", "key", "said_at",
-        F.sum("alive").over(running).alias("alive"),
-        F.sum("births").over(running).alias("births"),
-        F.sum("ever").over(running).alias("ever"),
-    )
-    return (
-        seen.where("kind = 2 AND alive <= 0")
-        .select(
-            "table_name",
-            "row_key",
-            F.col("said_at").alias("at"),
-            "key",
-            F.when(F.col("ever") == 0, "missing")
-            .when(F.col("births") == 0, "late")
-            .otherwise("deleted")
-            .alias("state"),
-        )
-        .distinct()
-    )
+    return said.join(orphaned, ["relation", "key", "at"]).select(
+        "table_name", "row_key", F.col("said_at").alias("at"), "key", "state"
+    ).distinct()
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

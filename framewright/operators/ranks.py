@@ -51,3 +51,23 @@ def bucketed_row_number(
     return joined.withColumn(
         name, F.col("_offset") + F.row_number().over(within) - 1
     ).drop("_bucket", "_group", "_g", "_b", "_offset")
+
+
+def bucketed_running_sum(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], bucket: Column, value: str, name: str = "before"
+) -> DataFrame:
+    """Adds `name`: the sum of `value` over the rows of the group that come before by (bucket, `order`).
+
+    As `bucketed_row_number`, with sums in place of counts; `order` should be total inside a bucket.
+    """
+    keyed = df.withColumn("_bucket", bucket).withColumn("_group", F.struct(*group))
+    sums = keyed.groupBy("_group", "_bucket").agg(F.sum(value).alias("_n"))
+    earlier = Window.partitionBy("_group").orderBy("_bucket")
+    offsets = sums.select(
+        F.col("_group").alias("_g"), F.col("_bucket").alias("_b"), (F.sum("_n").over(earlier) - F.col("_n")).alias("_offset")
+    )
+    joined = keyed.join(offsets, (F.col("_group") == F.col("_g")) & (F.col("_bucket") == F.col("_b")))
+    within = Window.partitionBy("_group", "_bucket").orderBy(*order)
+    return joined.withColumn(name, F.col("_offset") + F.sum(value).over(within) - F.col(value)).drop(
+        "_bucket", "_group", "_g", "_b", "_offset"
+    )

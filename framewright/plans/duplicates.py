@@ -66,7 +66,9 @@ def hamming_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def greedy_distinct_sample(spark: SparkSession, folder: str) -> DataFrame:
-    up = uploads(spark, folder).withColumn("position", F.xxhash64(F.lit(42), "path"))
+    """20 pictures a folder, in the order of a hash of their paths that SQL has as well."""
+    order = F.conv(F.substring(F.md5(F.concat(F.lit("42"), "path")), 1, 15), 16, 10).cast("long")
+    up = uploads(spark, folder).withColumn("position", order)
     return D.greedy_distinct_sample(up, 20, "position").select("folder", "sha", "taken")
 
 
@@ -128,6 +130,21 @@ SELECT d AS distance, true AS duplicate, {_NAME.format("fa")} AS upload_a, {_NAM
     "near_memberships": f"{_GROUPED} SELECT sha, root FROM roots",
     "review_pairs": f"""WITH {_FILES}
 SELECT d AS distance, d <= 10 AS duplicate, {_NAME.format("fa")} AS upload_a, {_NAME.format("fb")} AS upload_b FROM pairs WHERE d <= 40""",
+    "greedy_distinct_sample": f"""WITH RECURSIVE {_FILES},
+once AS (
+  SELECT folder, sha, min(CAST('0x' || md5('42' || path)[1:15] AS BIGINT)) AS o,
+    arg_min(p, struct_pack(b := p[1:1] < '8', c := p)) FILTER (p IS NOT NULL) AS p FROM up WHERE sha IS NOT NULL GROUP BY folder, sha),
+ranked AS (
+  SELECT folder, row_number() OVER (PARTITION BY folder ORDER BY o, sha) AS rn, struct_pack(sha := sha, a1 := CAST('0x' || p[1:15] AS BIGINT),
+    a2 := CAST('0x' || p[16:30] AS BIGINT), a3 := CAST('0x' || p[31:45] AS BIGINT), a4 := CAST('0x' || p[46:60] AS BIGINT), a5 := CAST('0x' || p[61:64] AS BIGINT)) AS f FROM once),
+steps AS (
+  SELECT folder, rn, [f] AS kept FROM ranked WHERE rn = 1
+  UNION ALL
+  SELECT r.folder, r.rn, CASE WHEN len(s.kept) = 20 OR len(list_filter(s.kept, lambda k: coalesce(CAST(bit_count(xor(k.a1, r.f.a1)) AS INT) + bit_count(xor(k.a2, r.f.a2))
+      + bit_count(xor(k.a3, r.f.a3)) + bit_count(xor(k.a4, r.f.a4)) + bit_count(xor(k.a5, r.f.a5)) <= 10, false))) > 0 THEN s.kept ELSE list_append(s.kept, r.f) END
+  FROM steps s JOIN ranked r ON r.folder = s.folder AND r.rn = s.rn + 1),
+done AS (SELECT folder, arg_max(kept, rn) AS kept FROM steps GROUP BY folder)
+SELECT folder, unnest(kept).sha AS sha, generate_subscripts(kept, 1) - 1 AS taken FROM done""",
     "hamming_histogram": f"""WITH {_FILES}
 SELECT d AS distance, count(*) FILTER (fa.folder = fb.folder) AS pairs_same_folder, count(*) FILTER (fa.folder <> fb.folder) AS pairs_cross_folder
 FROM pairs GROUP BY d""",

@@ -26,7 +26,7 @@ def _timeline(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     refs = _region_references(spark, folder).unionByName(
         O.references(
             regions, "image", F.col("transaction_id"), "regions",
-            F.col("region_id"), F.col("created_at"),
+            F.col("region_id"), F.col("created_at"), F.col("deleted_at"),
         )
     )
     records = O.lives(
@@ -51,24 +51,10 @@ def p1_orphans_per_month(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_current_orphans(spark: SparkSession, folder: str) -> DataFrame:
-    """Signed counts after all changes; identical rows count once."""
+    """Signed counts after all changes: references of deleted rows are taken off again, identical rows count once."""
     refs, records = _timeline(spark, folder)
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    referred = refs.distinct().select(
-        "relation", "key", one.alias("references"), zero.alias("existing")
-    )
-    lived = records.where("born IS NOT NULL").distinct()
-    gone = lived.where("died IS NOT NULL")
-    state = O.apply_deltas(None, referred)
-    for rows, sign in ((lived, 1), (gone, -1)):
-        state = O.apply_deltas(
-            state,
-            rows.select(
-                "relation", "key", zero.alias("references"),
-                F.lit(sign).cast("long").alias("existing"),
-            ),
-        )
-    return O.current_orphans(state)
+    changes = O.ledger(O.distinct_references(refs), records)
+    return O.current_orphans(O.apply_deltas(None, changes))
 
 
 QUERIES = {
@@ -79,13 +65,13 @@ QUERIES = {
 
 _REFS = f"""
 refs AS (
-  SELECT DISTINCT 'region' AS relation, table_name, row_key, key, said FROM (
+  SELECT DISTINCT 'region' AS relation, table_name, row_key, key, said, CAST(NULL AS TIMESTAMPTZ) AS unsaid FROM (
     SELECT 'predictions' AS table_name, CAST(id AS VARCHAR) AS row_key, {sql_key("region_id")} AS key, created_at AS said FROM predictions
     UNION ALL
     SELECT 'reviews', CAST(id AS VARCHAR), {sql_key("region_id")}, created_at FROM reviews)
   WHERE key NOT LIKE '%:none'
   UNION
-  SELECT 'image', 'regions', region_id, CAST(transaction_id AS VARCHAR), created_at FROM regions WHERE transaction_id IS NOT NULL
+  SELECT 'image', 'regions', region_id, CAST(transaction_id AS VARCHAR), created_at, deleted_at FROM regions WHERE transaction_id IS NOT NULL
 ),
 records AS (
   SELECT DISTINCT 'region' AS relation, {sql_key("region_id")} AS key, created_at AS born, deleted_at AS died FROM regions WHERE region_id IS NOT NULL
@@ -111,7 +97,7 @@ SELECT table_name, strftime(CAST(said AS TIMESTAMP), '%Y-%m') AS month, state, c
 FROM orphans GROUP BY ALL""",
     "p1_current_orphans": f"""WITH {_REFS}
 SELECT relation, key, CAST(sum(r) AS BIGINT) AS "references", CAST(sum(e) AS BIGINT) AS existing FROM (
-  SELECT relation, key, 1 AS r, 0 AS e FROM refs
+  SELECT relation, key, CASE WHEN unsaid IS NULL THEN 1 ELSE 0 END AS r, 0 AS e FROM refs
   UNION ALL SELECT relation, key, 0, CASE WHEN died IS NULL THEN 1 ELSE 0 END FROM records WHERE born IS NOT NULL)
 GROUP BY relation, key HAVING sum(r) > 0 AND sum(e) <= 0""",
 }

@@ -42,6 +42,11 @@ class Prediction:
 class Detector(ABC):
     name: str
     duplicate_iou: float = 0.7
+    needs_pixels = True  # else `whole` is asked, and no image is decoded
+
+    def whole(self, width: int, height: int) -> list[tuple[float, float, float, float, float]]:
+        """Candidates from the image's size alone."""
+        raise NotImplementedError
 
     @abstractmethod
     def detect(self, pixels: np.ndarray) -> list[tuple[float, float, float, float, float]]:
@@ -54,29 +59,34 @@ class Detector(ABC):
 class FullImageDetector(Detector):
     """One region that is the whole image, with confidence 1."""
 
+    needs_pixels = False
+
     def __init__(self, name: str = "full_image"):
         self.name = name
 
-    def detect(self, pixels: np.ndarray) -> list[tuple[float, float, float, float, float]]:
-        height, width = pixels.shape[:2]
+    def whole(self, width: int, height: int) -> list[tuple[float, float, float, float, float]]:
         return [(0.0, 0.0, float(width), float(height), 1.0)]
 
+    def detect(self, pixels: np.ndarray) -> list[tuple[float, float, float, float, float]]:
+        return self.whole(pixels.shape[1], pixels.shape[0])
+
 
 class YoloDetector(Detector):
-    """Open-vocabulary detection with prompts; needs the `ultralytics` package, or a `model` that is given."""
+    """Detection of what the prompts name, or of the weights' own classes without any; needs the `ultralytics` package, or a `model`."""
 
-    def __init__(self, weights: str, prompts: list[str], confidence: float = 0.25, duplicate_iou: float = 0.7,
-                 image_size: int = 640, device: str | None = None, name: str = "yolo", model=None):
-        self.weights, self.prompts, self.confidence = weights, list(prompts), confidence
+    def __init__(self, weights: str = "yoloe-26s-seg.pt", prompts: list[str] | None = None, confidence: float = 0.25, duplicate_iou: float = 0.7,
+                 image_size: int = 640, device: str = "cpu", name: str = "yolo", model=None):
+        self.weights, self.prompts, self.confidence = weights, list(prompts or ()), confidence
         self.duplicate_iou, self.image_size, self.device = duplicate_iou, image_size, device
         self.name, self.model = name, model
 
     def open(self) -> None:
         if self.model is None:
-            from ultralytics import YOLOE
+            import ultralytics
 
-            self.model = YOLOE(self.weights)
-            self.model.set_classes(self.prompts, self.model.get_text_pe(self.prompts))
+            self.model = (ultralytics.YOLOE if self.prompts else ultralytics.YOLO)(self.weights)
+            if self.prompts:
+                self.model.set_classes(self.prompts)
 
     def detect(self, pixels: np.ndarray) -> list[tuple[float, float, float, float, float]]:
         # the model library takes arrays in BGR order
@@ -97,11 +107,13 @@ class Classifier(ABC):
         """Called once in each worker before the first crop."""
 
 
-def detect(records: DataFrame, detector: Detector) -> DataFrame:
-    """Regions of fetched records: transaction_id, image_id, region_id, detector_name, box, confidence.
+def detections(records: DataFrame, detector: Detector) -> DataFrame:
+    """One row per fetched record: its key, width, height, candidates (ARRAY of BOX) and the model's latency_ms.
 
-    records: fetch_status, content, width, height and the key. Failed fetches never reach the model.
+    records: fetch_status, content, width, height and the key. Failed fetches never reach the model. Contents are only
+    read for detectors that look at pixels; decoding is not part of the latency.
     """
+    fields = [x.split()[0] for x in BOX.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened = False
@@ -109,16 +121,28 @@ def detect(records: DataFrame, detector: Detector) -> DataFrame:
             if not opened and len(pdf):
                 detector.open()
                 opened = True
-            rows = []
             for x in pdf.itertuples(index=False):
-                boxes = detector.detect(decode(x.content))
-                rows += [(x.transaction_id, x.image_id, int(x.width), int(x.height), *box) for box in boxes]
-            yield pd.DataFrame(rows, columns=["transaction_id", "image_id", "width", "height", "x0", "y0", "x1", "y1", "confidence"])
-
-    fetched = records.where("fetch_status = 'ok'").select("transaction_id", "image_id", "width", "height", "content")
-    found = fetched.mapInPandas(run, f"{IMAGE_KEY}, width int, height int, {BOX}")
+                pixels = decode(x.content) if detector.needs_pixels else None
+                began = time.perf_counter()
+                boxes = detector.detect(pixels) if detector.needs_pixels else detector.whole(int(x.width), int(x.height))
+                spent = (time.perf_counter() - began) * 1000
+                found = [dict(zip(fields, map(float, box), strict=True)) for box in boxes]
+                yield pd.DataFrame([(x.transaction_id, x.image_id, int(x.width), int(x.height), found, spent)], columns=names)
+
+    names = ["transaction_id", "image_id", "width", "height", "candidates", "latency_ms"]
+    wanted = ["transaction_id", "image_id", "width", "height", *(["content"] if detector.needs_pixels else [])]
+    struct = ", ".join(f"{x}: double" for x in fields)
+    schema = f"{IMAGE_KEY}, width int, height int, candidates array<struct<{struct}>>, latency_ms double"
+    return records.where("fetch_status = 'ok'").select(*wanted).mapInPandas(run, schema)
+
+
+def regions_of(found: DataFrame, detector: Detector) -> DataFrame:
+    """Regions of `detections`: transaction_id, image_id, region_id, detector_name, box, confidence."""
+    each = found.select("transaction_id", "image_id", "width", "height", F.explode("candidates").alias("c")).select(
+        "transaction_id", "image_id", "width", "height", "c.*"
+    )
     c = [F.col(x) for x in ("x0", "y0", "x1", "y1")]
-    boxed = found.select(
+    boxed = each.select(
         "transaction_id", "image_id", "confidence", F.struct(*c).alias("tie"),
         B.clip_box(*c, F.col("width"), F.col("height")).alias("box"),
     )
@@ -131,6 +155,11 @@ def detect(records: DataFrame, detector: Detector) -> DataFrame:
     )
 
 
+def detect(records: DataFrame, detector: Detector) -> DataFrame:
+    """Regions of fetched records, where latencies do not matter."""
+    return regions_of(detections(records, detector), detector)
+
+
 def safe_classify(classifier: Classifier, crop: np.ndarray) -> dict:
     """The classifier's answer with its latency; an exception becomes a `model_error` with its type."""
     began = time.perf_counter()

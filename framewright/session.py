@@ -69,7 +69,9 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, "stored")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -82,10 +84,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def released():
+    """Deletes what `stored` and `scratch` made inside, when it ends; stored tables passed to the yielded function stay.
+
+    Shuffle files go with the plans that made them, which the JVM is asked to collect.
+    """
+    before, kept = len(_STORED), []
+    yield lambda df: kept.append(df) or df
+    stay = {df.stored_at for df in kept}
+    mine = _STORED[before:]
+    held = [x for x in mine if x[1] in stay]
+    rest = [x for x in mine if x not in held]
+    _STORED[before:] = held
+    for spark, path in rest:
+        _delete(spark, path)
+    for spark in {id(s): s for s, _ in rest}.values():
+        spark._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def purge_stored() -> None:
     """Delete what `stored` and `scratch` made; no plan made from them may be run afterwards."""
     while _STORED:
-        spark, path = _STORED.pop()
-        with contextlib.suppress(Exception):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(*_STORED.pop())

@@ -10,7 +10,8 @@ import io
 import random
 import zipfile
 from abc import ABC, abstractmethod
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,21 +40,30 @@ class ImageSource(ABC):
 
     spark: SparkSession
 
-    @abstractmethod
-    def list_keys(self) -> DataFrame: ...
-
     def fetch(self, keys: DataFrame | None = None, keep_content: bool = False) -> DataFrame:
         """Records of the keys (of all, if None): columns of RECORD.
 
-        A key without a file is a failed row with `read_error`. image_hash is NULL when decoding fails.
+        A key without a file is a failed row with `read_error`. image_hash is NULL when decoding fails. Without keys, files
+        are read where they are listed. With keys, a task opens the files of its own keys, and no others, if they lie
+        in a file system that all workers mount; elsewhere the listing is joined.
         """
-        keys = self.list_keys() if keys is None else keys
-        files = self._files(keys).select(F.col("path").alias("_path"), "content")
+        if keys is None:
+            return self._keyed(self._listing()).mapInPandas(_records(keep_content), RECORD)
+        if self.mounted:
+            spread = keys.repartition(self.spark.sparkContext.defaultParallelism, "reference")
+            return spread.mapInPandas(_records(keep_content, _opened), RECORD)
+        files = self._listing().select(F.col("path").alias("_path"), "content")
         joined = keys.join(files, F.col("reference") == F.col("_path"), "left").drop("_path")
         return joined.mapInPandas(_records(keep_content), RECORD)
 
-    def _files(self, keys: DataFrame) -> DataFrame:
-        return self._listing()
+    mounted = True
+
+    def list_keys(self) -> DataFrame:
+        return self._keyed(self._listing()).drop("content")
+
+    @abstractmethod
+    def _keyed(self, files: DataFrame) -> DataFrame:
+        """transaction_id, image_id, reference and content of the files whose names hold a key."""
 
     @abstractmethod
     def _listing(self) -> DataFrame: ...
@@ -73,14 +83,15 @@ class LocalFolderSource(ImageSource):
 
     def __init__(self, spark: SparkSession, path: str, recursive: bool = False):
         self.spark, self.path, self.recursive = spark, existing_folder(spark, path), recursive
+        self.mounted = self.path.startswith("file:")
 
     def _listing(self) -> DataFrame:
         reader = self.spark.read.format("binaryFile").option("recursiveFileLookup", str(self.recursive).lower())
         return reader.load(self.path).where(has_image_extension(F.col("path")))
 
-    def list_keys(self) -> DataFrame:
-        rows = self._listing().select(parse_stem(F.col("path")).alias("k"), F.col("path").alias("reference"))
-        return rows.where("k IS NOT NULL").select("k.transaction_id", "k.image_id", "reference")
+    def _keyed(self, files: DataFrame) -> DataFrame:
+        rows = files.select(parse_stem(F.col("path")).alias("k"), F.col("path").alias("reference"), "content")
+        return rows.where("k IS NOT NULL").select("k.transaction_id", "k.image_id", "reference", "content")
 
     def skipped(self) -> int:
         """Image files whose names hold no key."""
@@ -93,13 +104,14 @@ class NfsZipSource(ImageSource):
     def __init__(self, spark: SparkSession, root: str, folders: Sequence[str], member: str = MEMBER):
         self.spark, self.member = spark, member
         self.folders = [existing_folder(spark, f"{root}/{f}") for f in folders]
+        self.mounted = all(f.startswith("file:") for f in self.folders)
 
     def _listing(self) -> DataFrame:
         return self.spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(self.folders)
 
-    def list_keys(self) -> DataFrame:
-        rows = self._listing().select(parse_zip_name(F.col("path")).alias("k"), F.col("path").alias("reference"))
-        return rows.where("k IS NOT NULL").select("k.transaction_id", "k.image_id", "reference")
+    def _keyed(self, files: DataFrame) -> DataFrame:
+        rows = files.select(parse_zip_name(F.col("path")).alias("k"), F.col("path").alias("reference"), "content")
+        return rows.where("k IS NOT NULL").select("k.transaction_id", "k.image_id", "reference", "content")
 
     def skipped(self) -> int:
         return self._listing().where(~file_name(F.col("path")).rlike(ZIP_NAME)).count()
@@ -136,13 +148,22 @@ def record(reference: str, content: bytes | None) -> dict:
     }
 
 
-def _records(keep_content: bool):
+def _opened(reference: str | None) -> bytes | None:
+    """The bytes of a mounted file, None if there is none."""
+    path = Path((reference or "").removeprefix("file:"))
+    return path.read_bytes() if path.is_file() else None
+
+
+def _records(keep_content: bool, opened: Callable[[str | None], bytes | None] | None = None):
     names = [x.split()[0] for x in RECORD.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for key in pdf.itertuples(index=False):  # one file's pixels in memory at a time
-                row = record(key.reference, key.content)
+                try:
+                    row = record(key.reference or "", opened(key.reference) if opened else key.content)
+                except OSError as error:
+                    row = {"fetch_status": "failed", "failure_reason": f"read_error: {type(error).__name__}"}
                 if not keep_content:
                     row.pop("content", None)
                 row |= {"transaction_id": key.transaction_id, "image_id": key.image_id, "reference": key.reference}

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.pixels import decode, draw_boxes, encode_png, side_by_side, thumbnail
-from framewright.sources.reports import slug
+from framewright.sources.reports import file_stem
 
 MAX_REVIEW = 300  # fixed value: review pictures at most
 
 
 def _write(folder: str, name: str, pixels) -> None:
     os.makedirs(folder, exist_ok=True)
-    with open(f"{folder}/{slug(name)}.png", "wb") as file:
+    with open(f"{folder}/{file_stem(name)}.png", "wb") as file:
         file.write(encode_png(pixels))
 
 

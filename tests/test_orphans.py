@@ -2,7 +2,7 @@ import datetime as dt
 
 from framewright.operators import orphans as O
 
-REF = "relation string, key string, table_name string, row_key string, at timestamp"
+REF = "relation string, key string, table_name string, row_key string, at timestamp, until timestamp"
 LIFE = "relation string, key string, born timestamp, died timestamp"
 
 
@@ -11,6 +11,7 @@ def t(day, hour=0):
 
 
 def found(spark, refs, lives):
+    refs = [(*r, None) if len(r) == 5 else r for r in refs]
     rows = O.orphans_in_time(spark.createDataFrame(refs, REF), spark.createDataFrame(lives, LIFE)).collect()
     return {(r["row_key"], r["state"]) for r in rows}
 
@@ -70,3 +71,34 @@ def test_counts_from_deltas(spark):
 def test_report(spark):
     rows = spark.createDataFrame([("p", "1", t(1), "k", "late"), ("p", "2", t(9), "k", "late"), ("p", "3", None, "k", "late")], "table_name string, row_key string, at timestamp, key string, state string")
     assert {tuple(r) for r in O.orphan_report(rows).collect()} == {("p", "2026-01", "late", 2), ("p", None, "late", 1)}
+
+
+def test_one_ledger_serves_all_views(spark):
+    import random
+
+    r = random.Random(9)
+    time = lambda: t(r.randint(1, 28), r.randint(0, 3)) + dt.timedelta(microseconds=r.randint(0, 3))
+    until = lambda at: r.choice([None, at + dt.timedelta(hours=r.randint(0, 90))])
+    refs = [("r", f"k{r.randint(0, 9)}", "p", str(i), at := time(), until(at)) for i in range(200)]
+    lives = [("r", f"k{r.randint(0, 9)}", at := time(), until(at)) for i in range(30)]
+    refs += refs[:20]
+    lives += lives[:5]
+    changes = O.ledger(O.distinct_references(spark.createDataFrame(refs, REF)), spark.createDataFrame(lives, LIFE)).cache()
+    state = None
+    for a, b in ((1, 8), (8, 20), (20, 99)):  # deltas as they come in
+        part = changes.where(f"at >= TIMESTAMP '2026-01-{a:02} 00:00:00'" + (f" AND at < TIMESTAMP '2026-01-{b:02} 00:00:00'" if b < 32 else ""))
+        state = O.apply_deltas(state, part)
+    want = {}
+    for x in set(refs):
+        want.setdefault(x[1], [0, 0])[0] += x[5] is None
+    for x in set(lives):
+        want.setdefault(x[1], [0, 0])[1] += x[3] is None
+    assert {x["key"]: [x["references"], x["existing"]] for x in state.collect()} == {k: v for k, v in want.items() if any(v)}
+    running = O.running_counts(changes).collect()
+    for k, v in want.items():
+        last = max((x for x in running if x["key"] == k), key=lambda x: x["at"])
+        assert [last["references"], last["existing"]] == v
+    assert {x["key"] for x in O.current_orphans(state).collect()} == {k for k, v in want.items() if v[0] > 0 and v[1] <= 0}
+    born = {(x[1], x[2], x[3]) for x in lives}
+    orphaned = {(x[3], x[1]) for x in refs if not any(k == x[1] and b <= x[4] and (d is None or d > x[4]) for k, b, d in born)}
+    assert {row for row, _ in found(spark, refs, lives)} == {row for row, _ in orphaned}
