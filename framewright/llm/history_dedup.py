@@ -244,7 +244,7 @@ class SegmentIndex:
         return found
 
 
-def waves(counts: dict[int, int], number: int = WAVES) -> list[tuple[int, int]]:
+def waves(counts: dict[int, int], number: int) -> list[tuple[int, int]]:
     """(first, last) batches of consecutive waves, each at most about as large as all before it."""
     total, done, out, first = sum(counts.values()), 0, [], None
     for batch in sorted(counts):
@@ -274,7 +274,7 @@ def seen_before(images: DataFrame, path: str, max_distance: int = MAX_DISTANCE,
         raise ValueError(f"more than {MAX_LOADS} loads")
     index = SegmentIndex(spark, path, max_distance, hot, leader)
     found = rows.select("id").limit(0)
-    for first, last in waves({r["batch_no"]: r["count"] for r in counted}):
+    for first, last in waves({r["batch_no"]: r["count"] for r in counted}, WAVES):
         with released() as keep:  # a wave leaves its answer and its part of the index
             found = found.unionByName(keep(index._take(rows.where(F.col("batch_no").between(first, last)), True)))
     return found.distinct()

@@ -39,6 +39,11 @@ def data(n=500, seed=3, family=0.3):
     return rows + rows[:20]
 
 
+@pytest.fixture(autouse=True)
+def two_waves(monkeypatch):
+    monkeypatch.setattr(H, "WAVES", 2)
+
+
 def found(df, path, **options):
     return {r["id"] for r in H.seen_before(df, str(path), **options).collect()}
 
@@ -50,15 +55,15 @@ def test_against_brute_force(spark, tmp_path):
     assert found(df.limit(0), tmp_path / "b") == set()
 
 
-def test_hot_buckets_are_cut_without_loss(spark, tmp_path):
+def test_hot_buckets_are_cut_without_loss(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(H, "HOT", 4)  # the size of the blocks of what is still large at the end
     rows = data(300, 8)
     df = spark.createDataFrame(rows, IMAGE)
-    for i, (hot, leader) in enumerate(((4, 2), (16, 4), (10**9, 2))):
-        assert found(df, tmp_path / str(i), hot=hot, leader=leader) == brute(rows)
+    assert found(df, tmp_path, hot=4, leader=2) == brute(rows)
 
 
 def test_loads_one_by_one(spark, tmp_path):
-    rows = [r for r in data(260, 5) if r[1] is not None]
+    rows = [(r[0], (r[1] + 2) // 3, *r[2:]) for r in data(260, 5) if r[1] is not None]  # three loads
     index = H.SegmentIndex(spark, str(tmp_path / "index"))
     got = set()
     for batch in sorted({r[1] for r in rows}):
@@ -113,7 +118,7 @@ def test_a_load_is_added_as_a_whole_or_not_at_all(spark, tmp_path, monkeypatch):
 
 def test_waves_double_the_index():
     counts = {b: 10 for b in range(1, 41)}
-    got = H.waves(counts)
+    got = H.waves(counts, 4)
     assert got == [(1, 5), (6, 10), (11, 20), (21, 40)]
-    assert H.waves({}) == [] and H.waves({7: 3}) == [(7, 7)]
-    assert H.waves({1: 1, 2: 1, 3: 100}) == [(1, 3)]
+    assert H.waves({}, 4) == [] and H.waves({7: 3}, 4) == [(7, 7)]
+    assert H.waves({1: 1, 2: 1, 3: 100}, 4) == [(1, 3)]
