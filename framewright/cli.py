@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import warnings
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright import pipeline, plugins
+from framewright.functions.pixels import has_pillow
 from framewright.operators import duplicates as D
 from framewright.operators.evaluation import SelectionRule
 from framewright.operators.ranks import bucketed_row_number
@@ -178,6 +180,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None):
     a = parser().parse_args(arguments)
+    if not has_pillow():
+        warnings.warn("Pillow is not installed: images other than PNG become failed rows (decode_error: NoDecoder)", stacklevel=2)
     spark = spark or build_session()
     if a.command == "build-ground-truth":
         done = build_ground_truth(spark, a.root, a.out, a.per_folder, a.seed)

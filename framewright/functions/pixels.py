@@ -6,6 +6,7 @@ the fingerprint is exact on a given grey matrix; the grey matrix of a lossy form
 
 from __future__ import annotations
 
+import importlib.util
 import io
 import struct
 import zlib
@@ -15,10 +16,21 @@ import numpy as np
 SIZE = 16  # a fingerprint has SIZE x SIZE bits
 
 
+OTHER_FORMATS = (b"\xff\xd8\xff", b"BM", b"RIFF", b"II*\0", b"MM\0*", b"GIF8")  # fixed values: first bytes of JPEG, BMP, WebP, TIFF, GIF
+
+
 class UndecodableImage(ValueError):
     """The bytes are no image that can be decoded here."""
 
 
+class NoDecoder(UndecodableImage):
+    """The bytes look like an image of a format that needs Pillow, which is not installed."""
+
+
+def has_pillow() -> bool:
+    return importlib.util.find_spec("PIL") is not None
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """RGB pixels (height, width, 3) of a PNG with 8 bits a channel, not interlaced."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
@@ -83,7 +95,7 @@ def decode(data: bytes) -> np.ndarray:
     try:
         from PIL import Image, ImageOps
     except ImportError as error:
-        raise UndecodableImage("no decoder for this format") from error
+        raise (NoDecoder if data.startswith(OTHER_FORMATS) else UndecodableImage)("install Pillow for other formats than PNG") from error
     with Image.open(io.BytesIO(data)) as image:
         return np.asarray(ImageOps.exif_transpose(image).convert("RGB"))
 

@@ -7,6 +7,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +31,20 @@ def build_session(
         DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}
     ).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    _ship(spark)
+    return spark
+
+
+def _ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers, wherever the program was started from."""
+    context = spark.sparkContext
+    if any(str(f).endswith("framewright.zip") for f in context.listFiles):
+        return
+    folder = tempfile.mkdtemp(prefix="framewright-code-")  # of the driver; Spark sends the file to the workers
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    here = Path(__file__).resolve().parent
+    context.addPyFile(shutil.make_archive(f"{folder}/framewright", "zip", here.parent, here.name))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -26,7 +26,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
     Rows are counted from 1, which is the header. Relative image paths are taken from the file's folder.
     """
-    header = spark.read.option("header", True).csv(path)
+    header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)  # quoted cells may hold line ends
     missing = [c for c in COLUMNS if c not in header.columns]
     if missing:
         raise ValueError(f"{path}: columns missing: {', '.join(missing)}")

@@ -30,6 +30,9 @@ def test_decoding_and_grey():
     assert (pixels.decode(png(picture)) == picture).all()
     with pytest.raises(pixels.UndecodableImage):
         pixels.decode(b"\x89PNG\r\n\x1a\nbroken")
+    if not pixels.has_pillow():
+        with pytest.raises(pixels.NoDecoder):
+            pixels.decode(b"\xff\xd8\xff\xe0 a JPEG")
     flat = pixels.grey_matrix(plain(200))
     assert len(flat) == 17 * 16 and set(flat) == {200}
     assert (pixels.resized(pixels.grey(picture), 64, 48) == pixels.grey(picture)).all()
