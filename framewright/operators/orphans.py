@@ -9,8 +9,8 @@ when its own row is deleted; a record is +1 when it begins to live and -1 when i
   for each reference whether any record of its key was alive when the reference was written.
 
 Keys may be hot: deltas are summed per key and instant before anything else, and running sums are carried
-from days to seconds to instants, so that no task holds more of a key than its days, the seconds of one day, or the
-instants (microseconds) of one second. Rows meet the few orphan instants by key and instant.
+from minutes to instants, so that no task holds more of a key than its minutes, or the
+instants of one minute. Rows meet the few orphan instants by key and instant.
 """
 
 from __future__ import annotations
@@ -78,9 +78,11 @@ def _last() -> Column:
 
 
 def distinct_references(refs: DataFrame) -> DataFrame:
-    """The references with a key, identical rows once; said_at is `at` as it was given."""
-    known = refs.where(F.col("key").isNotNull()).select("relation", "key", "table_name", "row_key", "at", "until").distinct()
-    return known.withColumn("said_at", F.col("at")).withColumn("at", F.coalesce("at", _last()))
+    """The references with a key, identical rows once; `at` is never NULL but `_last` instead."""
+    known = refs.where(F.col("key").isNotNull()).select(
+        "relation", "key", "table_name", "row_key", F.coalesce("at", _last()).alias("at"), "until"
+    )
+    return known.distinct()
 
 
 def ledger(refs: DataFrame, records: DataFrame) -> DataFrame:
@@ -111,33 +113,23 @@ def running_counts(changes: DataFrame) -> DataFrame:
     """The ledger with running sums: relation, key, at, COUNTS up to and with that instant (but `written` of the instant
     itself), and ever: the births of the key at all times.
 
-    Sums are carried downwards as a first row of each day and of each second.
+    Sums are carried downwards as a first row of each minute.
     """
     key = ["relation", "key"]
-    sums = [F.sum(c).alias(c) for c in COUNTS]
-    timed = changes.withColumns({"_day": F.date_trunc("day", "at"), "_second": F.date_trunc("second", "at")})
-    seconds = timed.groupBy(*key, "_day", "_second").agg(*sums)
-    days = seconds.groupBy(*key, "_day").agg(*sums)
-
-    def before(order: str, *group: str):
-        return Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-
     zero = F.lit(0).cast("long")
-    day = before("_day", *key)
-    carried = days.select(
-        *key, "_day", F.lit(None).cast("timestamp").alias("_second"),
-        *[F.coalesce(F.sum(c).over(day), zero).alias(c) for c in COUNTS],
+    timed = changes.withColumn("_slot", F.date_trunc("minute", "at"))
+    slots = timed.groupBy(*key, "_slot").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    before = Window.partitionBy(*key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slots.select(
+        *key, "_slot", F.lit(None).cast("timestamp").alias("at"),
+        *[F.coalesce(F.sum(c).over(before), zero).alias(c) for c in COUNTS],
         F.sum("births").over(Window.partitionBy(*key)).alias("ever"),
     )
-    second = before("_second", *key, "_day")  # the carried row has no second and comes first
-    carried = carried.unionByName(seconds.withColumn("ever", zero)).select(
-        *key, "_second", F.lit(None).cast("timestamp").alias("at"),
-        *[F.sum(c).over(second).alias(c) for c in (*COUNTS, "ever")],
-    ).where("_second IS NOT NULL")
-    instant = Window.partitionBy(*key, "_second").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = carried.unionByName(timed.drop("_day").withColumn("ever", zero))
+    # the carried row has no instant and comes first
+    upto = Window.partitionBy(*key, "_slot").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = carried.unionByName(timed.withColumn("ever", zero))
     return rows.select(
-        *key, "at", *[F.sum(c).over(instant).alias(c) for c in (*COUNTS[:3], "ever")], "written"
+        *key, "at", *[F.sum(c).over(upto).alias(c) for c in (*COUNTS[:3], "ever")], "written"
     ).where("at IS NOT NULL")
 
 
@@ -160,7 +152,7 @@ def orphans_in_time(refs: DataFrame, records: DataFrame) -> DataFrame:
         F.when(F.col("ever") == 0, "missing").when(F.col("births") == 0, "late").otherwise("deleted").alias("state"),
     )
     return said.join(orphaned, ["relation", "key", "at"]).select(
-        "table_name", "row_key", F.col("said_at").alias("at"), "key", "state"
+        "table_name", "row_key", F.when(F.col("at") != _last(), F.col("at")).alias("at"), "key", "state"
     ).distinct()
 
 
