@@ -23,7 +23,7 @@ FIELDS = ("document_type", "issuing_country")
 COPY_EXCESS = 0.35  # of the possible agreement beyond the fitted one
 CERTAIN = 2.0  # standard errors of an agreement by which it must exceed that
 TOLERANCE = 5e-4  # change of the unit eigenvectors at which the iteration has converged
-COARSE = 5e-3  # the same for the first fit, which only has to tell copies from others
+COARSE = 1e-2  # the same for the first fit, which only has to tell copies from others
 UNROLLED = 2  # rounds of one plan
 MAX_ROUNDS = 200  # an iteration that has not converged by then raises
 PACK = 100_000  # rows of the small matrices and vectors per partition
@@ -136,57 +136,65 @@ def packed(df: DataFrame) -> DataFrame:
     return held.coalesce(-(-held.count() // PACK) or 1)
 
 
-def _multiplied(matrix: DataFrame, state: DataFrame) -> DataFrame:
-    """One round of the power iteration: both products, their lengths, and the change of the unit vectors."""
+def _multiplied(matrix: DataFrame, state: DataFrame, parts: int) -> DataFrame:
+    """One round of the power iteration: both products, their lengths, and the change of the unit vectors.
+
+    Every side of a join lies in `parts` partitions; where that is one, the round needs no shuffle.
+    """
     other = state.select("field", F.col("a").alias("b"), F.col("s").alias("_s"), F.col("t").alias("_t"))
     rows = matrix.join(other.hint("shuffle_hash"), ["field", "b"]).groupBy("field", "a").agg(
         F.sum(F.col("n") * F.col("x") * F.col("_s")).alias("_ps"), F.sum(F.col("n") * F.col("_t")).alias("_pt")
     )
-    raw = state.join(rows.hint("shuffle_hash"), ["field", "a"]).select(
+    raw = state.join(rows.coalesce(parts).hint("shuffle_hash"), ["field", "a"]).select(
         "field", "a", "n", "s", "t",
         (F.col("_ps") + F.col("n") * F.col("v") * F.col("v") * F.col("s")).alias("_ps"), (F.col("_pt") + F.col("n") * F.col("t")).alias("_pt"),
-    )
+    ).coalesce(parts)
     length = raw.groupBy("field").agg(
         F.greatest(F.sqrt(F.sum(F.col("_ps") * F.col("_ps"))), F.lit(1e-300)).alias("_ls"), F.sqrt(F.sum(F.col("_pt") * F.col("_pt"))).alias("_lt")
     )  # one row per field
     s, t = F.col("_ps") / F.col("_ls"), F.col("_pt") / F.col("_lt")
     v = F.least(F.greatest(F.sqrt(F.col("_ls") / F.col("_lt")) * s / t, F.lit(0.001)), F.lit(1.0))
-    return raw.join(length.hint("shuffle_hash"), "field").select(
+    return raw.join(length.coalesce(parts).hint("shuffle_hash"), "field").coalesce(parts).select(
         "field", "a", "n", s.alias("s"), t.alias("t"), v.alias("v"), F.greatest(F.abs(s - F.col("s")), F.abs(t - F.col("t"))).alias("change")
     )
 
 
-def leading(matrix: DataFrame, answered: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """(field, a, v) with v_a * v_b near x of each pair, from the leading eigenvectors of both matrices.
+def leading(matrix: DataFrame, answered: DataFrame, tolerance: float = TOLERANCE, start: DataFrame | None = None) -> DataFrame:
+    """(field, a, v, s, t) with v_a * v_b near x of each pair, from the leading eigenvectors of both matrices.
 
     matrix: field, a, b, n, x for a <> b, both ways. answered: field, a, n (the model's own answers). A round
     multiplies the agreement matrix (n * x) by the vector s and the overlap matrix (n) by t, by one join and one sum per row, and
     scales both to length 1; the lengths before are the eigenvalues. The diagonal is each model's agreement with
     itself, which nobody measured: it is completed as n_a * v_a², from the present v = s / t * sqrt(of the
-    ratio of the eigenvalues). Rounds end when neither vector changes by more than `tolerance`.
+    ratio of the eigenvalues). Rounds end when neither vector changes by more than `tolerance`;
+    they begin at `start` (a result for another matrix) if there is one.
     """
     if matrix.isEmpty():
-        return answered.select("field", "a", F.lit(None).cast("double").alias("v")).limit(0)
+        return answered.select("field", "a", *[F.lit(None).cast("double").alias(c) for c in "vst"]).limit(0)
     own = matrix.select("field", "a").distinct().join(answered, ["field", "a"])
-    size = own.groupBy("field").agg(F.count("*").alias("_k"))  # one row per field
-    one = 1 / F.sqrt("_k")
-    state = packed(
-        own.join(size, "field").select("field", "a", "n", one.alias("s"), one.alias("t"), F.lit(0.5).alias("v"), F.lit(1.0).alias("change"))
-    )
+    size = own.groupBy("field").agg((1 / F.sqrt(F.count("*"))).alias("_one"))  # one row per field
+    begun = own.join(size, "field").withColumns({"_s": F.lit(None).cast("double"), "_t": F.lit(None).cast("double"), "_v": F.lit(None).cast("double")})
+    if start is not None:
+        known = start.select("field", "a", F.col("s").alias("_s"), F.col("t").alias("_t"), F.col("v").alias("_v"))
+        begun = own.join(size, "field").join(known, ["field", "a"], "left")
+    state = packed(begun.select(
+        "field", "a", "n", F.coalesce("_s", "_one").alias("s"), F.coalesce("_t", "_one").alias("t"),
+        F.coalesce("_v", F.lit(0.5)).alias("v"), F.lit(1.0).alias("change"),
+    ))
     parts = state.rdd.getNumPartitions()
     for _ in range(MAX_ROUNDS // UNROLLED):
         for _ in range(UNROLLED):
-            state = _multiplied(matrix, state)
+            state = _multiplied(matrix, state, parts)
         seen = Observation()  # read while the round is written
         state = stored(state.observe(seen, F.max("change").alias("change"))).coalesce(parts)
         if seen.get["change"] <= tolerance:
-            return state.select("field", "a", "v")
+            return state.select("field", "a", "v", "s", "t")
     raise RuntimeError(f"the reliabilities did not converge in {MAX_ROUNDS} rounds")
 
 
 def label_shares(labels: DataFrame, vector: DataFrame) -> DataFrame:
     """(field, label, share): how frequent labels are, told by the models that agree most."""
-    told = labels.join(vector.withColumnRenamed("a", "model_name"), ["field", "model_name"], "left")
+    told = labels.join(vector.select("field", F.col("a").alias("model_name"), "v"), ["field", "model_name"], "left")
     sums = told.groupBy("field", "label").agg(
         F.sum(F.col("n") * F.pow(F.coalesce("v", F.lit(0.1)), F.lit(2.0))).alias("s")
     )
@@ -205,7 +213,7 @@ def reliabilities(regions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     answered = packed(labels.groupBy("field", F.col("model_name").alias("a")).agg(F.sum("n").alias("n")))
     first = leading(matrix, answered, COARSE)
     fitted = (
-        matrix.join(first.withColumnRenamed("v", "va"), ["field", "a"])
+        matrix.join(first.select("field", "a", F.col("v").alias("va")), ["field", "a"])
         .join(first.select("field", F.col("a").alias("b"), F.col("v").alias("vb")), ["field", "b"])
         .withColumn("fit", F.col("va") * F.col("vb"))
     )
@@ -224,14 +232,14 @@ def reliabilities(regions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     of = copies.select(F.col("model_name").alias("a"), F.col("copies_of").alias("_fa"))
     to = copies.select(F.col("model_name").alias("b"), F.col("copies_of").alias("_fb"))
     apart = matrix.join(of, "a", "left").join(to, "b", "left").where(~F.coalesce(F.col("_fa") == F.col("_fb"), F.lit(False)))
-    second = leading(packed(apart.select(*matrix.columns)), answered)
+    second = leading(packed(apart.select(*matrix.columns)), answered, TOLERANCE, first)
     shares = packed(label_shares(labels, second))
     spread = shares.groupBy("field").agg(
         (1 - F.sum(F.col("share") * F.col("share"))).alias("spread")
     )
     told = labels.groupBy("field", "model_name").agg(F.sum("n").alias("answers"))
     rated = (
-        told.join(second.withColumnRenamed("a", "model_name"), ["field", "model_name"], "left")
+        told.join(second.select("field", F.col("a").alias("model_name"), "v"), ["field", "model_name"], "left")
         .join(spread, "field")
         .select(
             "field", "model_name", "answers",

@@ -109,7 +109,7 @@ def test_a_load_is_added_as_a_whole_or_not_at_all(spark, tmp_path, monkeypatch):
         index.accept(new)
     monkeypatch.undo()
     assert {r["id"] for r in index.accept(new).collect()} == want  # nothing of the lost attempt counts
-    assert {r["id"] for r in index.probe(new).collect()} == {r[0] for r in rows if r[1] > 5 and r[2].strip().lower() == "ok" and (r[3] or r[4])}
+    assert {r["id"] for r in index.probe(new).collect()} == {r[0] for r in rows if r[1] > 5 and (r[2] or "").strip().lower() == "ok" and (r[3] or r[4])}
     version, parts = index.versions._manifest("index")
     assert version == 2 and len(parts) == 6
     with pytest.raises(WriteConflict):  # a second writer that began from version 1
