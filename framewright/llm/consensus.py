@@ -2,9 +2,9 @@
 
 Annotators are the models of `predictions`. For every pair of models that answered the same
 regions the share of equal labels, less what their label frequencies give by chance, fills a
-sparse agreement matrix. Under one reliability per model that matrix has rank one; its leading
-eigenvector, found by power iteration over sparse joins with the overlap counts as weights,
-gives the reliabilities. They weight the votes for each label.
+sparse agreement matrix. Under one reliability per model that matrix has rank one; the leading
+eigenvector of the matrix, weighted and normalised by the overlap counts and found by power iteration over
+sparse joins, gives the reliabilities. They weight the votes for each label.
 
 Copies of one model agree far beyond their reliabilities. Such pairs are found as residuals
 of a first fit, left out of the second, and vote once together for a label.
@@ -22,7 +22,7 @@ from framewright.session import stored
 FIELDS = ("document_type", "issuing_country")
 COPY_EXCESS = 0.35  # of the possible agreement beyond the fitted one
 CERTAIN = 2.0  # standard errors of an agreement by which it must exceed that
-TOLERANCE = 5e-4  # change of the unit eigenvectors at which the iteration has converged
+TOLERANCE = 5e-4  # change of an entry of the eigenvector at which the iteration has converged
 COARSE = 1e-2  # the same for the first fit, which only has to tell copies from others
 UNROLLED = 2  # rounds of one plan
 MAX_ROUNDS = 200  # an iteration that has not converged by then raises
@@ -137,58 +137,45 @@ def packed(df: DataFrame) -> DataFrame:
 
 
 def _multiplied(matrix: DataFrame, state: DataFrame, parts: int) -> DataFrame:
-    """One round of the power iteration: both products, their lengths, and the change of the unit vectors.
+    """One round of the power iteration: field, a, v and its change.
 
-    Every side of a join lies in `parts` partitions; where that is one, the round needs no shuffle.
+    The rows a = b of the matrix bring a model's own entry along, so a round is one join and one sum. Every side
+    lies in packed partitions; where that is one, the round needs no shuffle.
     """
-    other = state.select("field", F.col("a").alias("b"), F.col("s").alias("_s"), F.col("t").alias("_t"))
-    rows = matrix.join(other.hint("shuffle_hash"), ["field", "b"]).groupBy("field", "a").agg(
-        F.sum(F.col("n") * F.col("x") * F.col("_s")).alias("_ps"), F.sum(F.col("n") * F.col("_t")).alias("_pt")
-    )
-    raw = state.join(rows.coalesce(parts).hint("shuffle_hash"), ["field", "a"]).select(
-        "field", "a", "n", "s", "t",
-        (F.col("_ps") + F.col("n") * F.col("v") * F.col("v") * F.col("s")).alias("_ps"), (F.col("_pt") + F.col("n") * F.col("t")).alias("_pt"),
+    other = state.select("field", F.col("a").alias("b"), F.col("v").alias("_v"))
+    sums = matrix.join(other.hint("shuffle_hash"), ["field", "b"]).groupBy("field", "a").agg(
+        F.max(F.when(F.col("a") == F.col("b"), F.col("_v"))).alias("_own"),
+        F.sum(F.col("n") * F.col("x") * F.col("_v")).alias("_p"), F.sum(F.col("n") * F.col("_v") * F.col("_v")).alias("_d"),
     ).coalesce(parts)
-    length = raw.groupBy("field").agg(
-        F.greatest(F.sqrt(F.sum(F.col("_ps") * F.col("_ps"))), F.lit(1e-300)).alias("_ls"), F.sqrt(F.sum(F.col("_pt") * F.col("_pt"))).alias("_lt")
-    )  # one row per field
-    s, t = F.col("_ps") / F.col("_ls"), F.col("_pt") / F.col("_lt")
-    v = F.least(F.greatest(F.sqrt(F.col("_ls") / F.col("_lt")) * s / t, F.lit(0.001)), F.lit(1.0))
-    return raw.join(length.coalesce(parts).hint("shuffle_hash"), "field").coalesce(parts).select(
-        "field", "a", "n", s.alias("s"), t.alias("t"), v.alias("v"), F.greatest(F.abs(s - F.col("s")), F.abs(t - F.col("t"))).alias("change")
-    )
+    v = F.least(F.greatest((F.col("_own") + F.col("_p") / F.col("_d")) / 2, F.lit(0.001)), F.lit(1.0))
+    return sums.select("field", "a", v.alias("v"), F.abs(v - F.col("_own")).alias("change"))
 
 
-def leading(matrix: DataFrame, answered: DataFrame, tolerance: float = TOLERANCE, start: DataFrame | None = None) -> DataFrame:
-    """(field, a, v, s, t) with v_a * v_b near x of each pair, from the leading eigenvectors of both matrices.
+def leading(matrix: DataFrame, tolerance: float = TOLERANCE, start: DataFrame | None = None) -> DataFrame:
+    """(field, a, v) with v_a * v_b near x of each pair, from the leading eigenvector of the agreement matrix.
 
-    matrix: field, a, b, n, x for a <> b, both ways. answered: field, a, n (the model's own answers). A round
-    multiplies the agreement matrix (n * x) by the vector s and the overlap matrix (n) by t, by one join and one sum per row, and
-    scales both to length 1; the lengths before are the eigenvalues. The diagonal is each model's agreement with
-    itself, which nobody measured: it is completed as n_a * v_a², from the present v = s / t * sqrt(of the
-    ratio of the eigenvalues). Rounds end when neither vector changes by more than `tolerance`;
-    they begin at `start` (a result for another matrix) if there is one.
+    matrix: field, a, b, n, x for a <> b, both ways, n > 0. With d_a = sum of n_ab * v_b² over the partners b,
+    sqrt(d) * v is the leading eigenvector of the matrix n_ab * x_ab / sqrt(d_a * d_b), of eigenvalue 1: where x_ab is
+    v_a * v_b it is so whatever the overlaps n are. The agreement of a model with itself nobody measured: its
+    place on the diagonal has the weight of all partners together and the present fit, d_a * v_a², so that it can't pull v
+    anywhere. A round multiplies v by the matrix so completed. Rounds end when no entry changes by more than
+    `tolerance`; they begin at `start` (a result for another matrix) if there is one.
     """
-    if matrix.isEmpty():
-        return answered.select("field", "a", *[F.lit(None).cast("double").alias(c) for c in "vst"]).limit(0)
-    own = matrix.select("field", "a").distinct().join(answered, ["field", "a"])
-    size = own.groupBy("field").agg((1 / F.sqrt(F.count("*"))).alias("_one"))  # one row per field
-    begun = own.join(size, "field").withColumns({"_s": F.lit(None).cast("double"), "_t": F.lit(None).cast("double"), "_v": F.lit(None).cast("double")})
+    own = matrix.select("field", "a").distinct().select("field", "a", F.col("a").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("x"))
+    whole = packed(matrix.select("field", "a", "b", "n", "x").unionByName(own))
+    begun = whole.where("a = b").select("field", "a", F.lit(0.5).alias("v"), F.lit(1.0).alias("change"))
     if start is not None:
-        known = start.select("field", "a", F.col("s").alias("_s"), F.col("t").alias("_t"), F.col("v").alias("_v"))
-        begun = own.join(size, "field").join(known, ["field", "a"], "left")
-    state = packed(begun.select(
-        "field", "a", "n", F.coalesce("_s", "_one").alias("s"), F.coalesce("_t", "_one").alias("t"),
-        F.coalesce("_v", F.lit(0.5)).alias("v"), F.lit(1.0).alias("change"),
-    ))
+        known = start.select("field", "a", F.col("v").alias("_v"))
+        begun = begun.join(known, ["field", "a"], "left").select("field", "a", F.coalesce("_v", "v").alias("v"), "change")
+    state = packed(begun)
     parts = state.rdd.getNumPartitions()
     for _ in range(MAX_ROUNDS // UNROLLED):
         for _ in range(UNROLLED):
-            state = _multiplied(matrix, state, parts)
+            state = _multiplied(whole, state, parts)
         seen = Observation()  # read while the round is written
         state = stored(state.observe(seen, F.max("change").alias("change"))).coalesce(parts)
-        if seen.get["change"] <= tolerance:
-            return state.select("field", "a", "v", "s", "t")
+        if (seen.get["change"] or 0.0) <= tolerance:  # None: no models share a region
+            return state.select("field", "a", "v")
     raise RuntimeError(f"the reliabilities did not converge in {MAX_ROUNDS} rounds")
 
 
@@ -210,8 +197,7 @@ def reliabilities(regions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     """
     labels = packed(label_counts(regions))
     matrix = packed(centred(agreement(regions), labels))
-    answered = packed(labels.groupBy("field", F.col("model_name").alias("a")).agg(F.sum("n").alias("n")))
-    first = leading(matrix, answered, COARSE)
+    first = leading(matrix, COARSE)
     fitted = (
         matrix.join(first.select("field", "a", F.col("v").alias("va")), ["field", "a"])
         .join(first.select("field", F.col("a").alias("b"), F.col("v").alias("vb")), ["field", "b"])
@@ -232,7 +218,7 @@ def reliabilities(regions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     of = copies.select(F.col("model_name").alias("a"), F.col("copies_of").alias("_fa"))
     to = copies.select(F.col("model_name").alias("b"), F.col("copies_of").alias("_fb"))
     apart = matrix.join(of, "a", "left").join(to, "b", "left").where(~F.coalesce(F.col("_fa") == F.col("_fb"), F.lit(False)))
-    second = leading(packed(apart.select(*matrix.columns)), answered, TOLERANCE, first)
+    second = leading(packed(apart.select(*matrix.columns)), TOLERANCE, first)
     shares = packed(label_shares(labels, second))
     spread = shares.groupBy("field").agg(
         (1 - F.sum(F.col("share") * F.col("share"))).alias("spread")

@@ -67,3 +67,21 @@ def test_latest_answer_nulls_and_failures(spark):
     assert labels["r1"]["document_type"] == "national_id" and labels["r1"]["issuing_country"] is None
     assert not labels["r5"]["disputed"] and set(labels) == {"r1", "r5"}
     assert C.consensus(given.limit(0))[0].count() == 0
+
+
+def test_models_that_answer_a_third_of_the_regions(spark):
+    import datetime as dt
+
+    r, out = random.Random(3), []
+    skill = {f"m{i:02}": s for i, s in enumerate([0.9, 0.9, 0.88, 0.85, 0.7, 0.65, 0.6, 0.55, 0.5, 0.3, 0.2, 0.15])}
+    for i in range(6000):
+        kind, country = r.choices(KINDS, [6, 2, 1, 1])[0], r.choices(COUNTRIES, [5, 3, 2, 1, 1])[0]
+        for model, s in skill.items():
+            if r.random() < 0.33:
+                a = kind if r.random() < s else r.choices(KINDS, [6, 2, 1, 1])[0]
+                b = country if r.random() < s else r.choices(COUNTRIES, [5, 3, 2, 1, 1])[0]
+                out.append((len(out), f"r{i}", model, a, b, "ok", dt.datetime(2026, 1, 1), "x"))
+    models = C.consensus(C.answers(spark.createDataFrame(out, ROW)))[1].collect()
+    assert len(models) == 2 * len(skill)
+    for m in models:
+        assert abs(m["reliability"] - skill[m["model_name"]]) < 0.1 and m["copies_of"] is None, m
