@@ -6,6 +6,8 @@ the file could not be read. Reports work on distinct files, so exact copies neve
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,8 @@ from framewright.session import stored
 
 NEAR = 10  # bits of 256 up to which two pictures are the same
 BLOCK = 2_048  # files of a block where all pairs are compared
+SIDE = 16  # blocks of a partition that meets another
+ROWS = 16  # files that are compared with a block at a time
 
 
 def least_words() -> Column:
@@ -74,56 +78,119 @@ def near_links(files: DataFrame, max_distance: int = NEAR) -> DataFrame:
     return segments.links(looks, max_distance).unionByName(same)
 
 
-def block_pairs(files: DataFrame, max_distance: int, histogram: bool, block: int = BLOCK) -> DataFrame:
-    """All pairs of distinct files, block against block, in numpy.
+def _packed(files: DataFrame, blocks: int) -> DataFrame:
+    """(block, words, folders, ends, shas): one row per block of files, which are ordered by folder and sha.
 
-    histogram: (distance, pairs_same_folder, pairs_cross_folder) of every pair. Else (a, b, distance) up
-    to `max_distance`. Blocks have about `block` files whatever their number, so a task holds two blocks at any
-    scale and no pair leaves it but as a count or a hit. The work is quadratic, as the report asks for every pair.
+    words: four rows of 64-bit words, one after the other. The files of folders[n] end before ends[n].
     """
-    blocks = max(1, -(-files.where(F.col("w0").isNotNull()).count() // block))
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        code, names = pd.factorize(pdf["folder"], use_na_sentinel=False)
+        order = np.lexsort((pdf["sha"].to_numpy(dtype=object), code))
+        words = pdf[list(WORDS)].to_numpy(dtype="int64")[order]
+        return pd.DataFrame({
+            "block": [key[0]], "words": [np.ascontiguousarray(words.T).tobytes()], "folders": [[None if pd.isna(x) else x for x in names]],
+            "ends": [np.cumsum(np.bincount(code)).astype("int32")], "shas": [pdf["sha"].to_numpy()[order]],
+        })
+
     keyed = files.where(F.col("w0").isNotNull()).select(
         "sha", F.col("first.folder").alias("folder"), *WORDS,
         F.pmod(F.xxhash64("sha"), F.lit(blocks)).cast("int").alias("block"),
     )
-    ids = F.sequence(F.lit(0), F.lit(blocks - 1))
-    placed = keyed.withColumn("other", F.explode(ids)).select(
-        "sha", "folder", *WORDS, "block",
-        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-    )
-    schema = (
-        "distance int, pairs_same_folder long, pairs_cross_folder long" if histogram else "a string, b string, distance int"
-    )
+    return stored(keyed.groupBy("block").applyInPandas(
+        pack, "block int, words binary, folders array<string>, ends array<int>, shas array<string>"
+    ))
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        one, two = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        x = one[list(WORDS)].to_numpy(dtype="int64").view("uint64")
-        y = two[list(WORDS)].to_numpy(dtype="int64").view("uint64")
-        folders = pd.factorize(pd.concat([one["folder"], two["folder"]]), use_na_sentinel=False)[0]
-        fx, fy = folders[: len(one)], folders[len(one) :]
-        sx, sy = one["sha"].to_numpy(), two["sha"].to_numpy()
-        same, cross, hits = np.zeros(257, "int64"), np.zeros(257, "int64"), []
-        for k in range(len(x)):
-            start = k + 1 if i == j else 0
-            d = np.bitwise_count(x[k] ^ y[start:]).sum(axis=1, dtype="int64")
-            if histogram:
-                near = fy[start:] == fx[k]
-                same += np.bincount(d[near], minlength=257)
-                cross += np.bincount(d[~near], minlength=257)
-            else:
-                hits += [(*sorted((sx[k], sy[start + n])), int(d[n])) for n in np.flatnonzero(d <= max_distance)]
-        if not histogram:
-            return pd.DataFrame(hits, columns=["a", "b", "distance"])
-        seen = np.flatnonzero(same + cross)
-        return pd.DataFrame({"distance": seen, "pairs_same_folder": same[seen], "pairs_cross_folder": cross[seen]})
-
-    out = placed.groupBy("i", "j").applyInPandas(compare, schema)
-    if not histogram:
-        return out
-    return out.groupBy("distance").agg(
-        F.sum("pairs_same_folder").alias("pairs_same_folder"), F.sum("pairs_cross_folder").alias("pairs_cross_folder")
-    )
+
+def block_pairs(files: DataFrame, max_distance: int, histogram: bool, block: int = BLOCK) -> DataFrame:
+    """All pairs of distinct files, block against block, in numpy.
+
+    histogram: (distance, pairs_same_folder, pairs_cross_folder) of every pair. Else (a, b, distance) up
+    to `max_distance`. Blocks have about `block` files whatever their number. They are packed into one row each, and
+    partitions of at most about SIDE such rows meet as a Cartesian product, which reads the blocks again for each
+    partner and writes no copies of them; no pair leaves a task but as a count or a hit. The work is quadratic, as the
+    report asks for every pair.
+    """
+    blocks = max(1, -(-files.where(F.col("w0").isNotNull()).count() // block))
+    held = _packed(files, blocks)
+    sides = max(-(-blocks // SIDE), min(blocks, 8))
+    names = ("block", "words", "folders", "ends") if histogram else ("block", "words")
+    left, right = (held.select(*names).repartition(sides).select(*[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ij")
+    i, j = F.col("block_i"), F.col("block_j")
+    once = (i == j) | ((i < j) == ((i + j) % 2 == 0))  # one of (i, j) and (j, i), evenly from both triangles
+    met = left.join(right.hint("shuffle_replicate_nl"), once)
+    if histogram:
+        out = met.mapInPandas(_counted, "distance int, pairs_same_folder long, pairs_cross_folder long")
+        return out.groupBy("distance").agg(
+            F.sum("pairs_same_folder").alias("pairs_same_folder"), F.sum("pairs_cross_folder").alias("pairs_cross_folder")
+        )
+    hits = met.mapInPandas(lambda rows: _hits(rows, max_distance), "block_i int, at_i int, block_j int, at_j int, distance int")
+    ids = held.select("block", F.posexplode("shas").alias("at", "sha"))
+    for x in "ij":
+        hits = hits.join(ids.select(F.col("block").alias(f"block_{x}"), F.col("at").alias(f"at_{x}"), F.col("sha").alias(f"sha_{x}")), [f"block_{x}", f"at_{x}"])
+    return hits.select(F.least("sha_i", "sha_j").alias("a"), F.greatest("sha_i", "sha_j").alias("b"), "distance")
+
+
+def _unpacked(words: bytes) -> np.ndarray:
+    return np.frombuffer(words, dtype="uint64").reshape(4, -1)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Different bits of each column of x with each of y, modulo 256 (they are 256 only for opposites)."""
+    out = np.bitwise_count(x[0][:, None] ^ y[0])
+    for one, two in zip(x[1:], y[1:], strict=True):
+        out += np.bitwise_count(one[:, None] ^ two)
+    return out
+
+
+def _counted(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    same, every = np.zeros(257, "int64"), np.zeros(257, "int64")
+
+    def count(into: np.ndarray, d: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        n = np.bincount(d.ravel(), minlength=256)
+        opposite = int(((d == 0) & (np.bitwise_count(x[0][:, None] ^ y[0]) == 64)).sum()) if n[0] else 0
+        into[:256] += n
+        into[0] -= opposite
+        into[256] += opposite
+
+    for pdf in rows:
+        for r in pdf.itertuples(index=False):
+            x, y = _unpacked(r.words_i), _unpacked(r.words_j)
+            begins = dict(zip(r.folders_j, zip([0, *r.ends_j[:-1]], r.ends_j, strict=True), strict=True))
+            one, all_ = np.zeros(257, "int64"), np.zeros(257, "int64")
+            low = 0
+            for folder, end in zip(r.folders_i, r.ends_i, strict=True):
+                a, b = begins.get(folder, (0, 0))
+                for k in range(low, end, ROWS):
+                    part = x[:, k : min(k + ROWS, end)]
+                    d = _apart(part, y)
+                    count(all_, d, part, y)
+                    if a < b:
+                        count(one, d[:, a:b], part, y[:, a:b])
+                low = end
+            if r.block_i == r.block_j:  # every pair was met twice, and each file met itself
+                for n in (one, all_):
+                    n[0] -= x.shape[1]
+                    n //= 2
+            same += one
+            every += all_
+    seen = np.flatnonzero(every)
+    yield pd.DataFrame({"distance": seen, "pairs_same_folder": same[seen], "pairs_cross_folder": (every - same)[seen]})
+
+
+def _hits(rows: Iterator[pd.DataFrame], max_distance: int) -> Iterator[pd.DataFrame]:
+    for pdf in rows:
+        for r in pdf.itertuples(index=False):
+            x, y = _unpacked(r.words_i), _unpacked(r.words_j)
+            for k in range(0, x.shape[1], ROWS):
+                part = x[:, k : k + ROWS]
+                at, to = np.nonzero(_apart(part[:2], y[:2]) <= max_distance)  # half of the words rule out most
+                d = np.bitwise_count(part[:, at] ^ y[:, to]).sum(axis=0, dtype="int64")
+                near = (d <= max_distance) & ((r.block_i != r.block_j) | (k + at < to))
+                if near.any():
+                    yield pd.DataFrame({
+                        "block_i": r.block_i, "at_i": k + at[near], "block_j": r.block_j, "at_j": to[near], "distance": d[near],
+                    })
 
 
 def distance_histogram(files: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -126,3 +126,21 @@ def test_a_copy_without_a_fingerprint_hides_nothing(spark):
     assert [tuple(r) for r in D.near_pairs(files).collect()] == [("s1", "s2", 3)]
     taken = D.greedy_distinct_sample(up.withColumn("o", F.col("transaction_id")), 5, "o")
     assert {r["sha"] for r in taken.collect()} == {"s1", "s3"}
+
+
+def _shuffled(spark):
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_blocks_meet_without_shuffling_their_copies(spark):
+    r = random.Random(5)
+    rows = [(f"{i:04}", ("f" if i % 3 else "g", i), *[r.getrandbits(64) - 2**63 for _ in range(4)]) for i in range(400)]
+    files = spark.createDataFrame(rows, "sha string, first struct<folder:string,n:int>, w0 long, w1 long, w2 long, w3 long").cache()
+    want = sorted((a[0], b[0], d) for k, a in enumerate(rows) for b in rows[k + 1 :] if (d := sum(((x ^ y) % 2**64).bit_count() for x, y in zip(a[2:], b[2:]))) <= 100)
+    before = _shuffled(spark)
+    assert sorted(map(tuple, D.block_pairs(files, 100, False, 10).collect())) == want and want
+    assert _shuffled(spark) - before < 10 * len(rows)  # of 40 blocks; once per block would be 40 * len(rows)
+    assert sum(n for x in D.distance_histogram(files, 10).collect() for n in x[1:]) == 400 * 399 // 2
