@@ -184,7 +184,8 @@ def _hits(rows: Iterator[pd.DataFrame], max_distance: int) -> Iterator[pd.DataFr
             x, y = _unpacked(r.words_i), _unpacked(r.words_j)
             for k in range(0, x.shape[1], ROWS):
                 part = x[:, k : k + ROWS]
-                at, to = np.nonzero(_apart(part[:2], y[:2]) <= max_distance)  # half of the words rule out most
+                few = np.flatnonzero(_apart(part[:2], y[:2]) <= max_distance)  # half of the words rule out most
+                at, to = np.divmod(few, y.shape[1])
                 d = np.bitwise_count(part[:, at] ^ y[:, to]).sum(axis=0, dtype="int64")
                 near = (d <= max_distance) & ((r.block_i != r.block_j) | (k + at < to))
                 if near.any():
